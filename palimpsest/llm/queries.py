@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, media, packing
-from palimpsest.llm.common import table
+from palimpsest.llm import decontaminate, langid, media, packing, toxicity
+from palimpsest.llm.common import crc_mod, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -19,6 +19,22 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.media_columns(table(spark, sf_dir, "documents")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_mod("doc_id", 3) == 1
+    model = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
+    return toxicity.scores(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = langid.fit(docs.where(~held_out))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = decontaminate.hit_words()
@@ -62,6 +78,8 @@ FROM words w LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 
 QUERIES = {
     "op2_media": op2_media,
+    "op4_toxicity": op4_toxicity,
+    "op7_language": op7_language,
     "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,
 }
