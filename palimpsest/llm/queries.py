@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, langid, media, packing, toxicity
+from palimpsest.llm import decontaminate, langid, media, packing, secrets, toxicity
 from palimpsest.llm.common import crc_mod, table
 
 
@@ -28,6 +28,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 4) == 2
@@ -76,11 +81,43 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM words w LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def secrets_sql() -> str:
+    """The rules' spans by RE2, which finds the same leftmost matches."""
+    parts = []
+    for rank, r in enumerate(secrets.RULES):
+        pattern = ("(?s)(.*?)(" + secrets.java_pattern(r) + ")").replace("'", "''")
+        value = 2 + r.group
+        parts.append(
+            f"SELECT doc_id, '{r.kind}' AS kind, {rank} AS rank, {r.least} AS least, regexp_extract_all(t, '{pattern}', 1) AS gaps, regexp_extract_all(t, '{pattern}', 2) AS wholes, regexp_extract_all(t, '{pattern}', {value}) AS vals FROM texts"
+        )
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+), found AS ({" UNION ALL ".join(parts)}
+), each AS (
+  SELECT doc_id, kind, rank, least, gaps, wholes, vals, unnest(range(1, len(wholes) + 1)) AS i FROM found WHERE len(wholes) > 0
+), ends AS (
+  SELECT doc_id, kind, rank, length(wholes[i]) AS size,
+    CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + list_sum(list_transform(wholes[1:i], lambda x: length(x))) AS BIGINT) AS stop
+  FROM each WHERE length(vals[i]) >= least
+), spans AS (
+  SELECT doc_id, kind, rank, stop - size AS start, kind || ':' || CAST(stop - size AS VARCHAR) || ':' || CAST(stop AS VARCHAR) AS shown FROM ends
+), grouped AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(shown, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(shown, ',' ORDER BY start, rank) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts t LEFT JOIN grouped USING (doc_id)
+"""
+
+
 QUERIES = {
     "op2_media": op2_media,
     "op4_toxicity": op4_toxicity,
+    "op5_secrets": op5_secrets,
     "op7_language": op7_language,
     "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,
 }
-ORACLE = {"op8_decontaminate": OP8_SQL}
+ORACLE = {"op5_secrets": secrets_sql(), "op8_decontaminate": OP8_SQL}
