@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, langid, media, packing, secrets, toxicity
+from palimpsest.llm import decontaminate, langid, linededup, media, packing, secrets, tokencounts, toxicity
 from palimpsest.llm.common import crc_mod, table
 
 
@@ -33,6 +33,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 4) == 2
@@ -57,6 +63,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH words AS (
   SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents
@@ -116,8 +126,10 @@ QUERIES = {
     "op2_media": op2_media,
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
+    "op6_token_counts": op6_token_counts,
     "op7_language": op7_language,
     "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE = {"op5_secrets": secrets_sql(), "op8_decontaminate": OP8_SQL}
