@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, langid, linededup, media, packing, secrets, tokencounts, toxicity
+from palimpsest.llm import decontaminate, jaccard, langid, linededup, media, packing, secrets, tokencounts, toxicity
 from palimpsest.llm.common import crc_mod, table
 
 
@@ -19,6 +19,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.media_columns(table(spark, sf_dir, "documents")))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents")).drop("cid")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_mod("doc_id", 3) == 1
@@ -67,6 +71,27 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, w[i : i + least(5, len(w)) - 1] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * shared.n >= 80 * (a.n + b.n - shared.n)
+), ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM words
+  UNION
+  SELECT r.doc_id, w.y FROM reached r JOIN ways w ON r.other = w.x
+)
+SELECT r.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
+FROM reached r LEFT JOIN sizes USING (doc_id) GROUP BY r.doc_id
+"""
+
 OP8_SQL = r"""
 WITH words AS (
   SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents
@@ -124,6 +149,7 @@ FROM texts t LEFT JOIN grouped USING (doc_id)
 
 QUERIES = {
     "op2_media": op2_media,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
     "op6_token_counts": op6_token_counts,
@@ -132,4 +158,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE = {"op5_secrets": secrets_sql(), "op8_decontaminate": OP8_SQL}
+ORACLE = {"op3_ngram_jaccard_join": OP3_SQL, "op5_secrets": secrets_sql(), "op8_decontaminate": OP8_SQL}
