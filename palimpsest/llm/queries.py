@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, jaccard, langid, linededup, media, packing, secrets, tokencounts, toxicity
+from palimpsest.llm import decontaminate, jaccard, langid, linededup, lm, media, packing, secrets, tokencounts, toxicity
 from palimpsest.llm.common import crc_mod, table
 
 
@@ -15,6 +15,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 5) == 1
+    found = lm.score(docs, docs.where(~held_out), keep=(held_out.alias("held_out"),))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.media_columns(table(spark, sf_dir, "documents")))
 
@@ -148,6 +155,7 @@ FROM texts t LEFT JOIN grouped USING (doc_id)
 
 
 QUERIES = {
+    "op1_language_model": op1_language_model,
     "op2_media": op2_media,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
