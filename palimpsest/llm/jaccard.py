@@ -271,3 +271,27 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_class = placed.join(named, "root").select("cid", "component_id")
     return rows.join(by_class, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cid")
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with their own columns, one document of each component: that with the least id, and of equal ids any one of
+    those with equal texts. Documents without words are no one's duplicates and all stay.
+    """
+    found = components(docs, size, percent, id_col, text_col)
+    kept = cut(found.where(F.col("n_shingles") > 0).groupBy("component_id").agg(F.min(F.struct("doc_id", "cid")).alias("k")).select("k.doc_id", "k.cid"))
+    columns = docs.columns
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cids = [class_id(shingle_set(x, size)) for x in batch.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "__text"), pa.array(cids, pa.int64())], names=[*(c for c in batch.schema.names if c != "__text"), "__cid"])
+
+    def named(column: str):
+        return F.coalesce(F.col(column).cast("string"), F.lit("\0")).alias("__id")
+
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), named(id_col), F.col(text_col).cast("binary").alias("__text"))
+    tagged = source.mapInArrow(tag, source.drop("__text").withColumn("__cid", F.lit(0).cast("long")).schema)
+    # The join already has rows of a key together, so that dropping repeated ones moves nothing.
+    chosen = tagged.join(kept.select(named("doc_id"), F.col("cid").alias("__cid")), ["__id", "__cid"]).dropDuplicates(["__id", "__cid"])
+    wordless = tagged.where(F.col("__cid") == class_id(np.zeros(0, dtype=np.uint64)))
+    return chosen.select("row.*").unionByName(wordless.select("row.*"))

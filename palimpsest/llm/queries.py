@@ -78,6 +78,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP3_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -165,5 +171,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "pipeline": pipeline,
 }
 ORACLE = {"op3_ngram_jaccard_join": OP3_SQL, "op5_secrets": secrets_sql(), "op8_decontaminate": OP8_SQL}
