@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ def cut(df: DataFrame) -> DataFrame:
     The copy is deleted when the application ends.
     """
     spark = df.sparkSession
+    gc.collect()
+    spark._jvm.System.gc()  # Spark deletes shuffle files once what refers to them is collected
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -14,7 +14,9 @@ Sets that link share an indexed token or pair: otherwise more than slack(n) of t
 Which tokens are frequent only matters for speed, so they are counted over all documents in bounded blocks, adding up
 what repeats within a block; at most `most_frequent` of them are broadcast.
 
-Candidates are verified exactly. First each class is compared with the least class of each posting list, which is linear
+Candidates first pass a lossless filter on sketches, the counts of a set's tokens in n / 4 buckets or so: the counts'
+differences add up to no more than the tokens that two sets don't share. What is left is verified exactly on the sets,
+read again from the texts for these classes only. First each class is compared with the least class of each posting list, which is linear
 in the list, and the links found are made components. Then, within each list, pairs of classes of different components
 are compared, too. All pairs within a list are thus neither emitted nor needed: a class in the same component has
 nothing to add. So the components are exact.
@@ -39,6 +41,7 @@ from palimpsest.llm.components import connected_components
 from palimpsest.llm.shingles import mix, shingle_set
 
 BLOCK, REPEATED, FREQUENT, MOST_FREQUENT = 4_000_000, 3, 24, 1 << 19
+WIDEST = 4096  # buckets of a sketch
 PER_GROUP = 15  # tokens of a set for each group of frequent tokens
 PAIR, CLASS = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -62,8 +65,27 @@ def size_classes(percent: int) -> np.ndarray:
     return np.array(out)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Counts, 255 at most, of the tokens by their lowest bits."""
+    width = 16
+    while width < min(len(tokens) // 4, WIDEST):
+        width *= 2
+    counts = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def may_link(x: bytes, y: bytes, total: int, percent: int) -> bool:
+    """Whether sets with these sketches and that many tokens together can be alike enough."""
+    a, b = np.frombuffer(x, dtype=np.uint8).astype(np.int32), np.frombuffer(y, dtype=np.uint8).astype(np.int32)
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = np.minimum(a.reshape(-1, len(b)).sum(axis=0), 255)
+    return int(np.abs(a - b).sum()) * (100 + percent) <= total * (100 - percent)
+
+
 def profile(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of documents (doc_id, n and cid, the class) and, with token set, of tokens that repeat within a block."""
+    """Rows of documents (doc_id, n, cid, the class, and sketch) and, with token set, of tokens that repeat within a block."""
     source = as_bytes(docs, id_col, text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,29 +97,30 @@ def profile(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame
             kept = counts >= REPEATED
             n = int(kept.sum())
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(tokens[kept].view(np.int64)), pa.array(counts[kept])], names=names
+                [pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(tokens[kept].view(np.int64)), pa.array(counts[kept])], names=names
             )
 
-        names = ["doc_id", "n", "cid", "token", "times"]
+        names = ["doc_id", "n", "cid", "sketch", "token", "times"]
         kind = pa.int64()
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            sizes, classes = [], []
+            sizes, classes, sketches = [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = shingle_set(text, size)
                 sizes.append(len(tokens))
                 classes.append(class_id(tokens))
+                sketches.append(sketch(tokens))
                 held.append(tokens)
                 total += len(tokens)
                 if total >= BLOCK:
                     yield repeated()
                     held, total = [], 0
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sketches, pa.binary()), none, none], names=names)
         if held:
             yield repeated()
 
-    return source.mapInArrow(scan, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n long, cid long, token long, times long")
+    return source.mapInArrow(scan, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n long, cid long, sketch binary, token long, times long")
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int, classes: np.ndarray) -> np.ndarray:
@@ -139,7 +162,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, perce
 
 
 def index(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The inverted index: sig, cid and n."""
+    """The inverted index: sig and cid."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, rank))
     classes = size_classes(percent)
 
@@ -147,21 +170,17 @@ def index(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, size: int, pe
         frequent, rank = shared.value
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
-                sigs, cids, sizes = [np.zeros(0, dtype=np.uint64)], [], []
+                sigs, cids = [np.zeros(0, dtype=np.uint64)], []
                 for text in whole.column("text").slice(start, 512).to_pylist():
                     tokens = shingle_set(text, size)
                     if len(tokens):
                         found = signatures(tokens, frequent, rank, percent, classes)
                         sigs.append(found)
                         cids.append(np.full(len(found), class_id(tokens), dtype=np.int64))
-                        sizes.append(np.full(len(found), len(tokens), dtype=np.int64))
                 none = np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate([none, *cids])), pa.array(np.concatenate([none, *sizes]))],
-                    names=["sig", "cid", "n"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate([none, *cids]))], names=["sig", "cid"])
 
-    return as_bytes(docs, id_col, text_col).select("text").mapInArrow(emit, "sig long, cid long, n long")
+    return as_bytes(docs, id_col, text_col).select("text").mapInArrow(emit, "sig long, cid long")
 
 
 def frequent_tokens(scanned: DataFrame, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -186,9 +205,19 @@ def frequent_tokens(scanned: DataFrame, most: int = MOST_FREQUENT) -> tuple[np.n
     return tokens[by_hash], rank[by_hash]
 
 
-def compatible(a: str, b: str, percent: int):
-    """Sizes of sets that can link."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches don't rule a link out."""
+    one = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    other = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    sized = pairs.join(one, "a").join(other, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("sa", "sb", "total")]
+            mask = pa.array([may_link(x, y, n, percent) for x, y, n in zip(*columns, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
+
+    return sized.select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("total")).mapInArrow(check, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,13 +242,39 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def id_filter(ids: DataFrame, most_bits: int = 1 << 26) -> tuple[int, np.ndarray]:
+    """A Bloom filter of the ids (column h, hashed), of eight bits an id but most_bits at most, made by the executors."""
+    bits = 1 << 16
+    n = ids.count()
+    while bits < 8 * n and bits < most_bits:
+        bits *= 2
+    at = F.explode(F.array(F.pmod("h", F.lit(bits)), F.pmod(F.shiftright("h", 32), F.lit(bits))))
+    words = ids.select(at.alias("at")).select(F.floor(F.col("at") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, int(at % 64))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(bits // 64, dtype=np.int64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return bits, table
+
+
 def token_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """cid and tokens (bytes of the sorted hashes) of the wanted classes; wanted: doc_id (of one member) and cid."""
-    source = as_bytes(docs, id_col, text_col)
-    chosen = source.join(wanted.where("doc_id IS NOT NULL"), "doc_id").select("cid", "text")
-    nameless = wanted.where("doc_id IS NULL")
-    if not nameless.isEmpty():  # classes of rows without an id only
-        chosen = chosen.unionByName(source.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("cid"), "text"))
+    """cid and tokens (bytes of the sorted hashes) of the wanted classes; wanted: doc_id (of one member) and cid.
+
+    A Bloom filter of the wanted ids comes before the join, so that few texts are moved.
+    """
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")))
+    wanted = cut(wanted.select(key.alias("h"), "cid"))
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, table = shared.value
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            found = np.ones(len(h), dtype=bool)
+            for at in (h % bits, (h >> 32) % bits):
+                found &= (table[at // 64] >> (at % 64)) & 1 == 1
+            yield batch.filter(pa.array(found))
+
+    source = as_bytes(docs, id_col, text_col).select(key.alias("h"), "text")
+    chosen = source.mapInArrow(some, source.schema).join(wanted, "h").select("cid", "text")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -228,45 +283,52 @@ def token_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_
                 cids, sets = [], []
                 for cid, text in zip(batch.column("cid").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     tokens = shingle_set(text, size)
-                    own = class_id(tokens)
-                    if cid is None or own == cid:  # an id may stand for several texts
-                        cids.append(own)
+                    if class_id(tokens) == cid:  # an id may stand for several texts
+                        cids.append(cid)
                         sets.append(tokens.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "tokens"])
 
     return chosen.mapInArrow(emit, "cid long, tokens binary").dropDuplicates(["cid"])
 
 
+def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) that link, written."""
+    near = cut(plausible(pairs, classes, percent))
+    ends = near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct()
+    wanted = ends.join(classes, "cid").select(F.col("least_id").alias("doc_id"), "cid")
+    sets = cut(token_sets(docs, wanted, size, id_col, text_col))
+    links = cut(verified(near, sets, percent))
+    drop_cut(sets)
+    return links
+
+
 def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id and cid (equal for equal sets)."""
     scanned = cut(profile(docs, size, id_col, text_col))
     frequent, rank = frequent_tokens(scanned)
     rows = scanned.where("token IS NULL").select("doc_id", "n", "cid")
-    classes = cut(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least_id")))
+    classes = cut(scanned.where("token IS NULL AND n > 0").groupBy("cid").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     order = Window.partitionBy("sig").orderBy("cid")
     listed = index(docs, frequent, rank, size, percent, id_col, text_col).select(
-        "*",
-        F.first(F.struct(F.col("cid").alias("c"), F.col("n").alias("n"))).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("lead"),
-        F.lead("cid").over(order).alias("after"),
+        "*", F.first("cid").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("lead"), F.lead("cid").over(order).alias("after")
     )
     # Posting lists with more than one class, each class once.
-    lists = cut(listed.where("cid <> lead.c OR cid <> after").where("after IS NULL OR cid <> after"))
-    stars = cut(lists.where("cid <> lead.c").where(compatible("n", "lead.n", percent)).select(F.col("cid").alias("a"), F.col("lead.c").alias("b")).distinct())
-    known = lists.select("cid").distinct().join(classes, "cid").select(F.col("least_id").alias("doc_id"), "cid")
-    sets = cut(token_sets(docs, cut(known), size, id_col, text_col))
-    links = cut(verified(stars, sets, percent))
+    lists = cut(listed.where("cid <> lead OR cid <> after").where("after IS NULL OR cid <> after"))
+    stars = cut(lists.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct())
+    links = linked(docs, stars, classes, size, percent, id_col, text_col)
     roots = cut(connected_components(links))
-    of = lists.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "cid", "n", F.coalesce("root", "cid").alias("root"))
+    sizes = classes.select("cid", "n")
+    of = lists.select("sig", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "cid", F.coalesce("root", "cid").alias("root"))
     mixed = of.groupBy("sig").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("sig")
-    rest = cut(of.join(mixed, "sig"))
+    rest = cut(of.join(mixed, "sig").join(sizes, "cid"))
     a, b = rest.alias("a"), rest.alias("b")
-    across = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.cid") < F.col("b.cid")) & (F.col("a.root") != F.col("b.root")) & compatible("a.n", "b.n", percent))
+    alike = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    across = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.cid") < F.col("b.cid")) & (F.col("a.root") != F.col("b.root")) & alike)
     pairs = across.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
     pairs = pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = cut(verified(cut(pairs), sets, percent))
+    more = linked(docs, cut(pairs), classes, size, percent, id_col, text_col)
     if not more.isEmpty():
         roots = cut(connected_components(links.unionByName(more)))
-    drop_cut(sets)
     placed = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least_id", F.coalesce("root", "cid").alias("root"))
     named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_class = placed.join(named, "root").select("cid", "component_id")
