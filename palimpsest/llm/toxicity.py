@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -57,14 +58,14 @@ class Rows:
     def _sorted(row: np.ndarray, column: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.argsort(row, kind="stable")
         present, starts = np.unique(row[order], return_index=True)
-        return present, starts, column[order], value[order].astype(np.float32)[:, None]
+        return present, starts, column[order].astype(np.int32), value[order].astype(np.float32)
 
     @staticmethod
     def _product(parts: tuple[np.ndarray, ...], dense: np.ndarray, rows: int) -> np.ndarray:
         present, starts, column, value = parts
         out = np.zeros((rows, dense.shape[1]), dtype=np.float32)
-        if len(present):
-            out[present] = np.add.reduceat(dense[column] * value, starts, axis=0)
+        for k in range(dense.shape[1] if len(present) else 0):  # a column at a time needs little memory
+            out[present, k] = np.add.reduceat(dense[:, k][column] * value, starts)
         return out
 
     def dot(self, dense: np.ndarray) -> np.ndarray:
@@ -87,20 +88,44 @@ class Model:
         return float(self.slopes[subwords(word, len(self.slopes))].mean())
 
 
-def train(bags: list[Counter], labels: np.ndarray, weights: np.ndarray, buckets: int = 1 << 16, width: int = 8, steps: int = 150, rate: float = 1.0, max_words: int = 40_000, decay: float = 1e-5, seed: int = 7) -> Model:
-    """bags: words of each text with their counts; weights: of each text in the loss."""
+class Bags:
+    """Texts as counts of numbered words, in arrays."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.ids, self.counts, self.sizes, self.totals = array("i"), array("i"), array("i"), array("q")
+
+    def add(self, text: bytes) -> None:
+        found = Counter(w for part in words(text) for w in part)
+        self.ids.extend(self.numbers.setdefault(w, len(self.numbers)) for w in found)
+        self.counts.extend(found.values())
+        self.sizes.append(len(found))
+        self.totals.append(sum(found.values()))
+
+    def most_common(self, n: int) -> tuple[list[str], Rows]:
+        """The n words of most texts, and for each text their shares in it."""
+        ids, counts = np.frombuffer(self.ids, dtype=np.int32), np.frombuffer(self.counts, dtype=np.int32)
+        text = np.repeat(np.arange(len(self.sizes)), np.frombuffer(self.sizes, dtype=np.int32))
+        listed = list(self.numbers)
+        order = np.argsort(-np.bincount(ids, minlength=len(listed)), kind="stable")[:n]
+        new = np.full(len(listed) + 1, -1)
+        new[order] = np.arange(len(order))
+        kept = new[ids] >= 0
+        shares = counts / (np.frombuffer(self.totals, dtype=np.int64)[text] + EMPTY)
+        return [listed[k] for k in order], Rows(text[kept], new[ids][kept], shares[kept], (len(self.sizes), len(order)))
+
+
+def train(bags: Bags, labels: np.ndarray, weights: np.ndarray, buckets: int = 1 << 16, width: int = 8, steps: int = 150, rate: float = 1.0, max_words: int = 40_000, decay: float = 1e-5, seed: int = 7) -> Model:
+    """weights: of each text in the loss."""
     rng = np.random.default_rng(seed)
     embeddings = rng.normal(0, 0.1, (buckets, width)).astype(np.float32)
     linear = rng.normal(0, 0.1, (width, 2)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
-    texts_with = Counter(w for bag in bags for w in bag)
-    vocabulary = {w: k for k, (w, n) in enumerate(sorted(texts_with.items(), key=lambda x: (-x[1], x[0]))[:max_words])}
-    ids = [subwords(w, buckets) for w in vocabulary]
+    common, text_rows = bags.most_common(max_words)
+    ids = [subwords(w, buckets) for w in common]
     sizes = np.array([len(x) for x in ids], dtype=np.int64)
     word_rows = Rows(np.repeat(np.arange(len(ids)), sizes), np.array([i for x in ids for i in x], dtype=np.int64), np.repeat(1 / np.maximum(sizes, 1), sizes), (len(ids), buckets))
-    entries = [(k, vocabulary[w], n / total) for k, bag in enumerate(bags) for total in [sum(bag.values()) + EMPTY] for w, n in bag.items() if w in vocabulary]
-    row, column, value = (np.array(x) for x in zip(*entries, strict=True)) if entries else (np.zeros(0, np.int64),) * 3
-    text_rows = Rows(row, column, value, (len(bags), len(vocabulary)))
+    del ids
     target = np.stack([1 - labels, labels], axis=1).astype(np.float32)
     weights = (weights / weights.sum()).astype(np.float32)[:, None]
     parameters = [embeddings, linear, bias]
@@ -112,7 +137,7 @@ def train(bags: list[Counter], labels: np.ndarray, weights: np.ndarray, buckets:
         probabilities = np.exp(logits)
         probabilities /= probabilities.sum(axis=1, keepdims=True)
         error = (probabilities - target) * weights
-        gradients = [word_rows.transposed_dot(text_rows.transposed_dot(error @ linear.T)) + decay * embeddings / len(bags), text_vectors.T @ error, error.sum(axis=0)]
+        gradients = [word_rows.transposed_dot(text_rows.transposed_dot(error @ linear.T)) + decay * embeddings / len(labels), text_vectors.T @ error, error.sum(axis=0)]
         for p, g, m, s in zip(parameters, gradients, means, squares, strict=True):
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
@@ -140,7 +165,7 @@ class Scorer(dict):
         return float(1 / (1 + np.exp(-np.clip(self.model.offset + total / (n + EMPTY), -40, 40))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_bytes: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sample_bytes: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Model | None:
     """A model of the labelled rows of docs; None if there are none."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     of_each = {r["label"]: r["count"] for r in marked.where(F.col("label").isin(0, 1)).groupBy("label").count().collect()}
@@ -150,16 +175,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_byte
     # About 2 * sample_rows ids, so that they can be sent to all executors.
     chosen = marked.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < share * (1 << 30))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= sample_bytes)
-    sample = rows.join(F.broadcast(chosen), "id").select("text", "label").collect()
-    if not sample:
+    sample = rows.join(F.broadcast(chosen), "id").select("text", "label").orderBy("label", F.xxhash64("text"), "text")
+    bags, found = Bags(), []
+    for r in sample.toLocalIterator():
+        bags.add(r["text"].encode())
+        found.append(r["label"])
+    if not found:
         return None
-    sample.sort(key=lambda r: (r["label"], r["text"]))  # the order in which tasks end must not matter
-    bags = [Counter(w for part in words(r["text"].encode()) for w in part) for r in sample]
-    found = np.array([r["label"] for r in sample])
-    counts = Counter(found.tolist())
-    weights = np.array([of_each[k] / counts[k] for k in found.tolist()], dtype=np.float64)
-    del sample
-    return train(bags, found, weights, **options)
+    counts = Counter(found)
+    weights = np.array([of_each[k] / counts[k] for k in found], dtype=np.float64)
+    return train(bags, np.array(found), weights, **options)
 
 
 def scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
