@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import cut, split_at_space
 
-CONTEXT, BATCH, NOISE, ROWS = 4, 512, 64, 4096
+CONTEXT, BATCH, NOISE, ROWS = 4, 512, 64, 512
 AFTER_WORD = b".,;:!?%&$#*|\"')"
 FLUSH = 400_000
 
@@ -153,14 +153,20 @@ class Model:
     def log_probabilities(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms, normalised over all outputs."""
         out = np.empty(len(target), dtype=np.float64)
+        # The bias is one more dimension, in which every predicted vector is 1.
+        outputs = np.concatenate([self.targets, self.bias[:, None]], axis=1).T.copy()
+        ones = np.ones(len(self.bias), dtype=np.float32)
         for at in range(0, len(target), ROWS):
-            logits = self.predicted(before[at : at + ROWS]) @ self.targets.T
-            logits += self.bias
+            q = self.predicted(before[at : at + ROWS])
+            logits = np.concatenate([q, np.ones((len(q), 1), dtype=np.float32)], axis=1) @ outputs
             own = logits[np.arange(len(logits)), target[at : at + ROWS]].astype(np.float64)
-            most = logits.max(axis=1, keepdims=True)
-            logits -= most
+            most = 0.0
+            if max(logits.max(), -logits.min()) > 60:  # else their exponentials can be added up as they are
+                most = logits.max(axis=1, keepdims=True)
+                logits -= most
+                most = most[:, 0]
             np.exp(logits, out=logits)
-            out[at : at + ROWS] = own - most[:, 0] - np.log(logits.sum(axis=1, dtype=np.float64))
+            out[at : at + ROWS] = own - most - np.log((logits @ ones).astype(np.float64))
         return out
 
     def train(self, before: np.ndarray, target: np.ndarray, output_counts: np.ndarray, rate: float, seed: int) -> Model:
@@ -182,13 +188,12 @@ class Model:
             up = 1 / (1 + np.exp(-np.clip(real, -30, 30))) - 1  # gradients of the loss by the scores
             down = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
             by_q = up[:, None] * model.targets[t] + down @ model.targets[drawn]
-            gradients = [np.zeros_like(p) for p in parameters]
-            for j in range(CONTEXT):
-                np.add.at(gradients[0][j], b[:, j], by_q)
-            np.add.at(gradients[1], t, up[:, None] * q)
-            np.add.at(gradients[1], drawn, down.T @ q)
-            np.add.at(gradients[2], t, up)
-            np.add.at(gradients[2], drawn, down.sum(axis=0))
+            places = b + np.arange(CONTEXT) * (len(noise) + 1)
+            gradients = [
+                summed(places.ravel(), np.repeat(by_q, CONTEXT, axis=0), CONTEXT * (len(noise) + 1)).reshape(parameters[0].shape),
+                summed(np.concatenate([t, drawn]), np.concatenate([up[:, None] * q, down.T @ q]), len(noise)),
+                summed(np.concatenate([t, drawn]), np.concatenate([up, down.sum(axis=0)])[:, None], len(noise))[:, 0],
+            ]
             for p, g, s in zip(parameters, gradients, squares, strict=True):
                 g /= len(rows)
                 s += g * g
@@ -196,6 +201,13 @@ class Model:
         return model
 
 
+def summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """values added up by row, of n rows."""
+    width = values.shape[1]
+    at = (rows[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(at, weights=values.ravel(), minlength=n * width).reshape(n, width).astype(np.float32)
+
+
 def contexts_of(outputs: np.ndarray, start: int) -> np.ndarray:
     """The CONTEXT outputs before each position."""
     padded = np.concatenate([np.full(CONTEXT, start, dtype=outputs.dtype), outputs])
