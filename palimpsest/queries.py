@@ -12,7 +12,9 @@ from palimpsest.functions import predicates, strategies
 from palimpsest.functions.predicates import NEED_CONTEXT, NEED_CONTEXT_AS_DIGITS, column_hints, default_patterns
 from palimpsest.functions.prf import seed_key
 from palimpsest.operators import mask as masking
-from palimpsest.operators import profile
+from palimpsest.operators import profile, seedmap, validate
+from palimpsest.plans import decide, history
+from palimpsest.sources import catalog
 from palimpsest.sql import DUCK
 
 SEED = "palimpsest"
@@ -174,3 +176,252 @@ add("mask_numeric_decimal", *mask_query("format_random", "credit_limit", kind="d
 add("mask_shuffle_part_names", *mask_query("shuffle", "p_name", key="p_partkey", source="part"))
 add("mask_redact_documents", *mask_query("redact", "text", key="doc_id", source="documents"))
 add("mask_blank_documents", *mask_query("blank", "text", key="doc_id", source="documents"))
+
+
+# Seed map
+
+SALT = "pepper"
+
+
+def seedmap_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.people(spark, sf_dir).select("id", seedmap.value_hash(SALT, "fake_email", F.col("email")).alias("value_hash"))
+
+
+add("seedmap_fingerprint", seedmap_fingerprint, with_people(f"SELECT id, sha256('{SALT}|fake_email|' || email) AS value_hash FROM people"))
+
+
+def half_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs for the customers with even keys."""
+    even = views.people(spark, sf_dir).where("id % 2 = 0")
+    return even.select(seedmap.value_hash(SALT, "fake_email", F.col("email")).alias("value_hash"), F.concat(F.lit("stored"), "id").alias("masked_value"))
+
+
+HALF_MAP_SQL = f"SELECT sha256('{SALT}|fake_email|' || email) AS value_hash, 'stored' || CAST(id AS VARCHAR) AS masked_value FROM people WHERE id % 2 = 0"
+
+
+def seedmap_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = views.people(spark, sf_dir).select("id", "email")
+    made = strategies.masked(strategies.get_strategy("fake_email"), "email", "string", SEED)
+    stored = half_map(spark, sf_dir).groupBy("value_hash").agg(F.min("masked_value").alias("masked_value"))
+    keyed = people.select("id", made.alias("new"), seedmap.value_hash(SALT, "fake_email", F.col("email")).alias("value_hash"))
+    return keyed.join(stored, "value_hash", "left").select("id", F.coalesce("masked_value", "new").alias("masked"), F.col("masked_value").isNotNull().alias("hit"))
+
+
+_EMAIL = strategies.text_sql(DUCK, strategies.get_strategy("fake_email"), "email", KEY)
+add(
+    "seedmap_lookup_hit_miss",
+    seedmap_lookup,
+    with_people(
+        f"""SELECT id, coalesce(masked_value, new) AS masked, masked_value IS NOT NULL AS hit
+    FROM (SELECT id, {_EMAIL} AS new, sha256('{SALT}|fake_email|' || email) AS value_hash FROM people)
+    LEFT JOIN (SELECT value_hash, min(masked_value) AS masked_value FROM ({HALF_MAP_SQL}) GROUP BY value_hash) USING (value_hash)"""
+    ),
+)
+
+
+def seedmap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = half_map(spark, sf_dir).groupBy("value_hash").agg(F.min("masked_value").alias("masked_value"))
+    made = strategies.masked(strategies.get_strategy("fake_email"), "email", "string", SEED)
+    new = views.people(spark, sf_dir).select(seedmap.value_hash(SALT, "fake_email", F.col("email")).alias("value_hash"), made.alias("masked_value")).distinct()
+    return stored.unionByName(new.join(stored.select("value_hash"), "value_hash", "left_anti"))
+
+
+add(
+    "seedmap_merge",
+    seedmap_merge,
+    with_people(
+        f""", stored AS (SELECT value_hash, min(masked_value) AS masked_value FROM ({HALF_MAP_SQL}) GROUP BY value_hash),
+    new AS (SELECT DISTINCT sha256('{SALT}|fake_email|' || email) AS value_hash, {_EMAIL} AS masked_value FROM people)
+    SELECT * FROM stored UNION ALL SELECT * FROM new WHERE value_hash NOT IN (SELECT value_hash FROM stored)"""
+    ).replace(") , stored", "), stored"),
+)
+
+
+# Validation: people against a copy with some faults
+
+
+def faulted(spark: SparkSession, sf_dir: str, every: int = 0, dropped: int = 0) -> DataFrame:
+    """people with emails masked, but for every `every`-th row; without rows whose key is a multiple of `dropped`."""
+    df = views.people(spark, sf_dir)
+    made = strategies.masked(strategies.get_strategy("fake_email"), "email", "string", SEED)
+    out = df.withColumn("email", F.when(F.col("id") % every == 0, F.col("email")).otherwise(made) if every else made)
+    return out.where(F.col("id") % dropped != 0) if dropped else out
+
+
+def faulted_sql(every: int = 0, dropped: int = 0) -> str:
+    email = f"CASE WHEN id % {every} = 0 THEN email ELSE {_EMAIL} END" if every else _EMAIL
+    return f"SELECT id, {email} AS email, status, dob_text FROM people" + (f" WHERE id % {dropped} <> 0" if dropped else "")
+
+
+def aligned_query(columns: list[str], limit: int | None, **faults: int):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return validate.completeness(views.people(spark, sf_dir), faulted(spark, sf_dir, **faults), ["id"], columns, limit)
+
+    cut = f"ORDER BY id LIMIT {limit}" if limit is not None else ""
+    parts = []
+    for c in columns:
+        real = f"s.{c} IS NOT NULL AND NOT {predicates.test_data(DUCK, f's.{c}')}"
+        parts.append(
+            f"""SELECT '{c}' AS column_name, count(s.id) AS source_rows, count(t.id) AS target_rows, count(*) FILTER (t.id IS NULL) AS source_only, count(*) FILTER (s.id IS NULL) AS target_only,
+        count(*) FILTER (s.id IS NOT NULL AND t.id IS NOT NULL AND {real}) AS compared,
+        count(*) FILTER (s.id IS NOT NULL AND t.id IS NOT NULL AND {real} AND s.{c} IS NOT DISTINCT FROM t.{c}) AS unmasked
+        FROM (SELECT * FROM people {cut}) s FULL JOIN (SELECT * FROM ({faulted_sql(**faults)}) {cut}) t ON s.id = t.id"""
+        )
+    partial = f"((SELECT count(*) FROM people) > {limit} OR (SELECT count(*) FROM ({faulted_sql(**faults)})) > {limit})" if limit is not None else "FALSE"
+    sql = f"""SELECT *, CASE WHEN unmasked > 0 THEN 'fail' WHEN source_only > 0 OR target_only > 0 THEN CASE WHEN {partial} THEN 'warning' ELSE 'fail' END
+      WHEN compared = 0 THEN 'skipped' WHEN {partial} THEN 'warning' ELSE 'pass' END AS status FROM ({' UNION ALL '.join(parts)})"""
+    return query, with_people(sql)
+
+
+add("validate_pk_full", *aligned_query(["email", "status"], None, every=100))
+add("validate_pk_clean", *aligned_query(["email"], None))
+add("validate_pk_partial", *aligned_query(["email"], 500))
+add("validate_key_mismatch", *aligned_query(["email"], None, dropped=50))
+add("validate_test_data_ignored", *aligned_query(["dob_text", "email"], None))
+
+
+def validate_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = views.people(spark, sf_dir), faulted(spark, sf_dir, dropped=50)
+    counts = source.agg(F.count("*").alias("source_rows")).crossJoin(target.agg(F.count("*").alias("target_rows")))  # a row each
+    return counts.withColumns({"difference": F.col("target_rows") - F.col("source_rows"), "status": F.when(F.col("target_rows") == F.col("source_rows"), "pass").otherwise("fail")})
+
+
+add(
+    "validate_row_count",
+    validate_row_count,
+    with_people("SELECT source_rows, target_rows, target_rows - source_rows AS difference, CASE WHEN source_rows = target_rows THEN 'pass' ELSE 'fail' END AS status FROM (SELECT count(*) AS source_rows, count(*) FILTER (id % 50 <> 0) AS target_rows FROM people)"),
+)
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+
+
+def validate_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = spark.createDataFrame([(t,) for t in TABLES], "table_name string")
+    target = spark.createDataFrame([(t,) for t in [*TABLES[2:], "extra"]], "table_name string")
+    left = source.join(target, "table_name", "left_anti").withColumn("side", F.lit("source"))
+    return left.unionByName(target.join(source, "table_name", "left_anti").withColumn("side", F.lit("target")))
+
+
+add("validate_presence", validate_presence, "SELECT * FROM (VALUES ('region', 'source'), ('nation', 'source'), ('extra', 'target')) t(table_name, side)")
+
+
+def validate_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    changed = lines.withColumn("l_quantity", F.when(F.col("l_orderkey") % 10 == 0, F.col("l_quantity")).otherwise(F.col("l_quantity") + 1000))
+    return validate.overlap(lines, changed, "l_quantity")
+
+
+add(
+    "validate_overlap_keyless",
+    validate_overlap,
+    f"""WITH s AS (SELECT * FROM lineitem WHERE l_quantity IS NOT NULL AND NOT {predicates.test_data(DUCK, 'CAST(l_quantity AS VARCHAR)')}),
+    c AS (SELECT * REPLACE (CASE WHEN l_orderkey % 10 = 0 THEN l_quantity ELSE l_quantity + 1000 END AS l_quantity) FROM lineitem),
+    t AS (SELECT * FROM c WHERE l_quantity IS NOT NULL AND NOT {predicates.test_data(DUCK, 'CAST(l_quantity AS VARCHAR)')})
+    SELECT v AS shared_values, r AS identical_rows, CASE WHEN v = 0 THEN 'pass' WHEN r > 0 THEN 'fail' ELSE 'warning' END AS status
+    FROM (SELECT (SELECT count(*) FROM (SELECT l_quantity FROM s INTERSECT SELECT l_quantity FROM t)) AS v, (SELECT count(*) FROM (SELECT * FROM s INTERSECT SELECT * FROM t)) AS r)""",
+)
+
+
+def postcheck_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = views.people(spark, sf_dir).where("id % 50 <> 0")
+    return validate.orphans(views.people_orders(spark, sf_dir), kept, "customer_id", "id").select("tenant_id", "order_id", "customer_id")
+
+
+def with_orders(sql: str) -> str:
+    return f"WITH people AS ({views.PEOPLE}), people_orders AS ({views.ORDERS}) {sql}"
+
+
+add("postcheck_orphans", postcheck_orphans, with_orders("SELECT tenant_id, order_id, customer_id FROM people_orders WHERE customer_id NOT IN (SELECT id FROM people WHERE id % 50 <> 0)"))
+
+
+def postcheck_cross_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    email = strategies.get_strategy("fake_email")
+    orders = views.people_orders(spark, sf_dir).withColumn("contact_email", strategies.masked(email, "contact_email", "string", SEED))
+    apart = validate.disagreeing(orders, faulted(spark, sf_dir, every=100), ("customer_id", "id"), ("contact_email", "email"))
+    return apart.groupBy(F.col("k").alias("customer_id")).agg(F.count("*").alias("n"))
+
+
+add(
+    "postcheck_cross_table_email",
+    postcheck_cross_table,
+    with_orders(
+        f"""SELECT customer_id, count(*) AS n FROM (SELECT customer_id, {strategies.text_sql(DUCK, strategies.get_strategy('fake_email'), 'contact_email', KEY)} AS a FROM people_orders)
+    JOIN ({faulted_sql(every=100)}) ON id = customer_id WHERE a IS DISTINCT FROM email GROUP BY customer_id"""
+    ),
+)
+add(
+    "postcheck_generated_total",
+    lambda spark, sf_dir: views.people_orders(spark, sf_dir).agg(F.count("*").alias("rows"), F.count_if(F.col("total") != F.col("quantity") * F.col("unit_price")).alias("wrong")),
+    with_orders("SELECT count(*) AS rows, count(*) FILTER (total <> quantity * unit_price) AS wrong FROM people_orders"),
+)
+
+
+def mask_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = [masking.ColumnPlan("phone", "fake_phone"), masking.ColumnPlan("dob_text", "fake_date"), masking.ColumnPlan("status", "fake_ssn")]
+    return masking.gate(views.people(spark, sf_dir), plans, SEED)
+
+
+add(
+    "mask_gate",
+    mask_gate,
+    with_people(
+        "SELECT * FROM (SELECT 'phone' AS column_name, count(*) AS rows, 0 AS invalid, 0 AS unchanged FROM people UNION ALL SELECT 'dob_text', count(*), count(*) FILTER (dob_text = 'N/A'), 0 FROM people UNION ALL SELECT 'status', count(*), count(*), 0 FROM people)"
+    ),
+)
+
+
+# Decisions, history and reports, on small literal tables
+
+_HISTORY = [
+    ("email", "mask", "approved", "string", 1, 0),
+    ("email", "keep", "pending", "string", 2, 1),
+    ("phone", "mask", "pending", "string", 1, 2),
+    ("ssn", "mask", "approved", "bigint", 3, 3),
+    ("city", "keep", "approved", "string", 1, 4),
+]
+
+
+def _history(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_HISTORY, "column_name string, decision string, review_status string, data_type string, revision int, seq int")
+
+
+_HISTORY_SQL = "(VALUES " + ", ".join(repr(r) for r in _HISTORY) + ") h(column_name, decision, review_status, data_type, revision, seq)"
+add(
+    "history_reuse",
+    lambda spark, sf_dir: history.reuse(spark.createDataFrame([(c, "string") for c in TEXT_COLUMNS], "column_name string, data_type string"), _history(spark)),
+    f"""SELECT c.column_name, CASE WHEN h.column_name IS NULL THEN 'none' WHEN h.data_type <> 'string' THEN 'pending' ELSE 'reuse' END AS outcome, CASE WHEN h.data_type = 'string' THEN h.decision END AS decision
+    FROM (SELECT unnest({TEXT_COLUMNS!r}) AS column_name) c LEFT JOIN (SELECT * FROM {_HISTORY_SQL} WHERE review_status = 'approved') h USING (column_name)""",
+)
+add(
+    "history_latest",
+    lambda spark, sf_dir: history.latest(_history(spark)),
+    f"SELECT column_name, decision, review_status, revision FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY CASE review_status WHEN 'approved' THEN 1 ELSE 0 END DESC, seq DESC) AS r FROM {_HISTORY_SQL}) WHERE r = 1",
+)
+
+
+def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decisions = spark.createDataFrame([("email", "sensitive"), ("status", "not_sensitive"), ("notes", "unknown"), ("phone", "sensitive"), ("blob", "error")], "column_name string, sensitivity string")
+    return validate.coverage(decisions, spark.createDataFrame([("email",)], "column_name string"))
+
+
+add("coverage_report", coverage_report, "SELECT * FROM (VALUES ('email', 'pass'), ('status', 'pass'), ('notes', 'warning'), ('phone', 'warning'), ('blob', 'error')) t(column_name, status)")
+
+
+def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.summary(spark.createDataFrame([(s,) for s in ("pass", "pass", "warning", "skipped")], "status string"))
+
+
+add("validation_summary", validation_summary, "SELECT 2 AS n_pass, 0 AS n_fail, 1 AS n_warning, 1 AS n_skipped, 0 AS n_error, TRUE AS passed, FALSE AS passed_strict")
+
+
+def scan_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide.scan(catalog.Catalog(spark, sf_dir)).decisions()
+
+
+add("scan_tables", scan_tables)
+add("schema_elements", lambda spark, sf_dir: catalog.Catalog(spark, sf_dir).elements())
+add("table_fingerprint", lambda spark, sf_dir: masking.fingerprint(views.people(spark, sf_dir)))
+add(
+    "table_row_counts",
+    lambda spark, sf_dir: catalog.Catalog(spark, sf_dir).row_counts(TABLES),
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in TABLES),
+)
