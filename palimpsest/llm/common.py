@@ -46,8 +46,14 @@ def drop_cut(df: DataFrame) -> None:
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send whole texts to Python in small batches, whatever the session's default of rows that may be short."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def as_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the text's UTF-8 bytes (null: null) only, so that no other column can clash."""
+    bounded_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import split_at_space
+from palimpsest.llm.common import bounded_batches, split_at_space
 
 #: Everything that separates words becomes a space, A-Z become a-z; bytes from 0x80 belong to words.
 TO_WORDS = bytes(
@@ -153,6 +153,7 @@ def find_overlaps(
     columns ride along as the struct `row`.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     small = items.select(F.col(item_id_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
     measured = small.agg(F.sum(F.octet_length("text") + 64).alias("bytes")).first()["bytes"] or 0
     slices = max(1, math.ceil(measured / slice_bytes))

@@ -17,7 +17,8 @@ ignored by identify() and kept by keep_identified().
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import split_at_space
+from palimpsest.llm.common import bounded_batches, cut, split_at_space
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST, LONGEST_WORD, REMEMBERED = 5, 64, 200_000
@@ -45,31 +46,39 @@ def grams(word: str, n: int) -> list[str]:
 class Model:
     """Log frequencies by language. rows and gram_rows give a word's and an n-gram's row in their matrices."""
 
-    def __init__(self, counts: dict[str, dict[str, int]], max_grams: int = 100_000, smoothing: float = 0.5):
-        """counts: by word, by language."""
-        self.languages = sorted({lang for by in counts.values() for lang in by})
+    def __init__(self, counts: list[tuple[str, str, int]], max_grams: int = 100_000, smoothing: float = 0.5):
+        """counts: words, languages and how often one occurs in the other."""
+        self.languages = sorted({lang for _, lang, _ in counts})
         place = {lang: k for k, lang in enumerate(self.languages)}
-        table = np.zeros((len(counts), len(self.languages)))
-        for k, by in enumerate(counts.values()):
-            for lang, n in by.items():
-                table[k, place[lang]] += n
-        self.rows = {w: k for k, w in enumerate(counts)}
+        self.rows: dict[str, int] = {}
+        for word, _, _ in counts:
+            self.rows.setdefault(word, len(self.rows))
+        table = np.zeros((len(self.rows), len(self.languages)))
+        for word, lang, n in counts:
+            table[self.rows[word], place[lang]] += n
         self.total = table.sum(axis=0)
-        self.vectors = self._logs(table, table.sum(axis=0), smoothing)
-        by_gram: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(self.languages)))
-        weight = np.log1p(table)  # a frequent word's n-grams count more, but not in proportion
+        self.vectors = self._logs(table, self.total, smoothing)
+        numbers: dict[str, int] = {}
+        of_gram, of_word = array("i"), array("i")
         for word, k in self.rows.items():
             for n in range(1, LONGEST + 1):
-                for gram in grams(word, n):
-                    by_gram[gram] += weight[k]
-        kept = sorted(by_gram, key=lambda g: (-by_gram[g].sum(), g))[:max_grams]
-        self.gram_rows = {g: k for k, g in enumerate(kept)}
-        gram_table = np.array([by_gram[g] for g in kept]).reshape(len(kept), len(self.languages))
+                found = grams(word, n)
+                of_gram.extend(numbers.setdefault(g, len(numbers)) for g in found)
+                of_word.extend([k] * len(found))
+        gram_ids, word_ids = np.frombuffer(of_gram, dtype=np.int32), np.frombuffer(of_word, dtype=np.int32)
+        weight = np.log1p(table)  # a frequent word's n-grams count more, but not in proportion
+        by_gram = np.zeros((len(numbers), len(self.languages)))
+        for k in range(len(self.languages)):
+            by_gram[:, k] = np.bincount(gram_ids, weights=weight[:, k][word_ids], minlength=len(numbers))
+        listed = list(numbers)
+        kept = np.argsort(-by_gram.sum(axis=1), kind="stable")[:max_grams]
+        sizes = np.array([len(listed[k]) for k in kept], dtype=np.int64)
+        self.gram_rows = {listed[k]: i for i, k in enumerate(kept)}
+        gram_table = by_gram[kept]
         self.gram_vectors = np.zeros(gram_table.shape, dtype=np.float32)
         for n in range(1, LONGEST + 1):
-            of_n = [k for g, k in self.gram_rows.items() if len(g) == n]
-            if of_n:
-                self.gram_vectors[of_n] = self._logs(gram_table[of_n], gram_table[of_n].sum(axis=0), smoothing)
+            if (sizes == n).any():
+                self.gram_vectors[sizes == n] = self._logs(gram_table[sizes == n], gram_table[sizes == n].sum(axis=0), smoothing)
 
     @staticmethod
     def _logs(table: np.ndarray, total: np.ndarray, smoothing: float) -> np.ndarray:
@@ -127,13 +136,14 @@ class Scorer(dict):
 
 def fit(docs: DataFrame, sample_rows: int = 3000, max_words: int = 100_000, max_grams: int = 100_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the labelled rows of docs."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     per_lang = rows.groupBy("lang").count()
     # One row for each language; a language's share of rows is kept by the hash of their ids.
     shares = {r["lang"]: min(1.0, sample_rows / r["count"]) for r in per_lang.orderBy(F.desc("count"), "lang").limit(1000).collect()}
     if not shares:
-        return Model({}, max_grams)
+        return Model([], max_grams)
     share = F.lit(0.0)
     for lang, s in shares.items():
         share = F.when(F.col("lang") == lang, F.lit(s)).otherwise(share)
@@ -156,9 +166,10 @@ def fit(docs: DataFrame, sample_rows: int = 3000, max_words: int = 100_000, max_
         yield given()
 
     counts = sample.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    ranked = counts.groupBy("word").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    kept = ranked.orderBy(F.desc("total"), "word").limit(max_words).select("word", "by").collect()
-    return Model({r["word"]: dict(sorted(r["by"].items())) for r in kept}, max_grams)
+    counts = cut(counts)
+    top = counts.groupBy("word").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "word").limit(max_words)
+    kept = counts.join(F.broadcast(top), "word").orderBy(F.desc("total"), "word", "lang").select("word", "lang", "n").toArrow()  # max_words words
+    return Model(list(zip(*(kept.column(c).to_pylist() for c in ("word", "lang", "n")), strict=True)), max_grams)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:

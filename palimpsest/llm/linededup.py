@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut
+from palimpsest.llm.common import bounded_batches, cut
 
 KEY = ["doc_id", "__h"]
 SENTENCE_END = re.compile(r"[.!?]+(?=\s)")
@@ -87,6 +87,7 @@ def find_units(docs: DataFrame, min_line_words: int, min_sentence_words: int, id
 
 def find_repeats(docs: DataFrame, min_line_words: int = 4, min_sentence_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, __h, start and end of each unit to remove, and the document of the occurrence that stays."""
+    bounded_batches(docs.sparkSession)
     found = cut(find_units(docs, min_line_words, min_sentence_words, id_col, text_col))
     place = F.struct("doc_id", "start", "__h")
     repeated = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")

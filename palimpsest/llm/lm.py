@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, split_at_space
+from palimpsest.llm.common import bounded_batches, cut, split_at_space
 
 CONTEXT, BATCH, NOISE, ROWS = 4, 512, 64, 512
 AFTER_WORD = b".,;:!?%&$#*|\"')"
@@ -265,6 +265,7 @@ def score(docs: DataFrame, training: DataFrame, shortlist: int = 255, tails: int
     training: the documents to learn from.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     counts = cut(count_words(training, text_col, tails))
     v = vocabulary(counts, training.count(), head, shortlist, tails)
     shared = spark.sparkContext.broadcast(v)

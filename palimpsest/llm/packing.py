@@ -16,6 +16,7 @@ packed each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import zlib
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import as_bytes, cut, split_at_space
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 
 
 class ChunkEncoder(dict):
@@ -43,11 +44,15 @@ class ChunkEncoder(dict):
     def __init__(self, path: str, remembered: int = REMEMBERED):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.path, self.remembered = path, remembered
+        self.fast = byte_pair_encoder(path)
+
+    @functools.cached_property
+    def tokenizer(self):
+        """Loaded when first needed."""
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.remembered = remembered
-        self.fast = byte_pair_encoder(path)
+        return Tokenizer.from_file(self.path)
 
     def __missing__(self, chunk: bytes) -> bytes:
         out = self.fast(chunk) if self.fast else None

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import bounded_batches
+
 RULES = ("first", "last", "most")
 PART = 1 << 20
 SAFE_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
@@ -133,6 +135,7 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str, fields: tuple[str, .
                     names=["doc_id", "field", "section", "start", "end", "n_tokens", "n_crossing"],
                 )
 
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"f{k}") for k, c in enumerate(fields)])
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(count, f"doc_id {kind}, field string, section long, start long, end long, n_tokens long, n_crossing long")

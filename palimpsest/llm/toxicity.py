@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import split_at_space
+from palimpsest.llm.common import bounded_batches, split_at_space
 
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST, LONGEST_WORD, REMEMBERED = 3, 5, 40, 250_000
@@ -189,6 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sample_byte
 
 def scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of each row."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     if model is None:
         return source.select("doc_id", F.lit(0.0).alias("score"))
