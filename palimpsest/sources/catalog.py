@@ -61,7 +61,9 @@ class Catalog:
             raise ValueError("a table without a key has no pages")
         df = self.rows(name, columns)
         if after is not None:
-            df = df.where(F.struct(*[F.col(quote(k)) for k in keys]) > F.struct(*[F.lit(v) for v in after]))
+            kinds = dict(df.dtypes)
+            last = F.struct(*[F.lit(v).cast(kinds[k]).alias(k) for k, v in zip(keys, after, strict=True)])
+            df = df.where(F.struct(*[F.col(quote(k)) for k in keys]) > last)
         return df.orderBy(*[quote(k) for k in keys]).limit(limit)
 
     def distinct_values(self, name: str, column: str, limit: int = 5000) -> DataFrame:
