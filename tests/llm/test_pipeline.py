@@ -26,8 +26,3 @@ def test_empty(spark, empty, sf):
     for _, stage in corpus_pipeline.STAGES:
         now = cut(stage(spark, now, sf))
     assert now.count() == 0
-
-
-def test_run_equals_brute_force_on_counts(spark, sf):
-    rows = corpus_pipeline.run(spark, sf).collect()
-    assert rows and len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows)
