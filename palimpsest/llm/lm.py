@@ -8,9 +8,10 @@ A word of a class has, within it, the share (c + 1/2) / (N + (V + 1) / 2) of the
 for unseen words, so that the probabilities of all words add up to one.
 
 Word counts are exact, over all training documents: they are summed by Spark, the `head` most frequent words (so a
-bounded table) are broadcast, and other words are looked up by a join. Parameters are trained on every `stride`-th
-position of every training document: each task trains from the shared parameters on its own part, and their mean, weighted
-by positions, begins the next of `rounds` rounds.
+bounded table) are broadcast, and other words are looked up by a join. Parameters are trained on every position of every
+training document, once: each of the `rounds` rounds takes the positions that the others leave, all rounds together take
+all. In a round each task trains from the shared parameters on its own part, and their mean, weighted by positions, begins
+the next round.
 
 Defined cases: null and empty texts are the end alone; unseen words count as c = 0; without training documents all
 outputs are equally likely; repeated rows are scored each; a very long text is read in parts; an empty table gives no
@@ -184,9 +185,9 @@ class Model:
             drawn = rng.choice(len(noise), NOISE, p=noise)
             q = model.predicted(b)
             real = (q * model.targets[t]).sum(axis=1) + model.bias[t] - log_kn[t]
-            false = q @ model.targets[drawn].T + model.bias[drawn] - log_kn[drawn]
-            up = 1 / (1 + np.exp(-np.clip(real, -30, 30))) - 1  # gradients of the loss by the scores
-            down = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
+            false = q @ model.targets[drawn].T + (model.bias[drawn] - log_kn[drawn])
+            up = sigmoid(real) - 1  # gradients of the loss by the scores
+            down = sigmoid(false)
             by_q = up[:, None] * model.targets[t] + down @ model.targets[drawn]
             places = b + np.arange(CONTEXT) * (len(noise) + 1)
             gradients = [
@@ -201,6 +202,15 @@ class Model:
         return model
 
 
+def sigmoid(scores: np.ndarray) -> np.ndarray:
+    """In place: only few passes over the many noise scores."""
+    np.clip(scores, -30, 30, out=scores)
+    np.negative(scores, out=scores)
+    np.exp(scores, out=scores)
+    scores += 1
+    return np.reciprocal(scores, out=scores)
+
+
 def summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """values added up by row, of n rows."""
     width = values.shape[1]
@@ -214,42 +224,45 @@ def contexts_of(outputs: np.ndarray, start: int) -> np.ndarray:
     return np.stack([padded[CONTEXT - 1 - j : len(padded) - 1 - j] for j in range(CONTEXT)], axis=1)
 
 
-def training_positions(docs: DataFrame, shared, stride: int, text_col: str) -> DataFrame:
-    """seed, and positions as 16-bit numbers: each one's outputs before it and its own."""
+def training_stream(docs: DataFrame, shared, text_col: str) -> DataFrame:
+    """seed, and as 16-bit numbers the outputs of some documents, each document's after CONTEXT starts."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
+        starts = np.full(CONTEXT, v.outputs, dtype="<u2")
         for batch in batches:
             held = []
             for text in batch.column("text").to_pylist():
-                outputs = np.concatenate([*(v.outputs_of(part)[1] for part in words(text)), [0]]).astype(np.uint16)
-                first = zlib.crc32(text or b"") % stride
-                if first < len(outputs):
-                    rows = np.concatenate([contexts_of(outputs, v.outputs), outputs[:, None]], axis=1)[first::stride]
-                    held.append(rows.astype("<u2"))
+                held += [starts, *(v.outputs_of(part)[1].astype("<u2") for part in words(text)), np.zeros(1, dtype="<u2")]
             packed = np.concatenate(held).tobytes() if held else b""
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(packed)], pa.int64()), pa.array([packed], pa.binary())], names=["seed", "positions"])
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(packed)], pa.int64()), pa.array([packed], pa.binary())], names=["seed", "outputs"])
+
+    return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(take, "seed long, outputs binary")
+
 
-    return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(take, "seed long, positions binary")
+def positions_of(stream: np.ndarray, start: int, turn: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """A round's positions in a stream: the outputs before each and its own. Each position is in exactly one round."""
+    at = np.flatnonzero(stream != start)[turn::rounds]
+    return stream[at[:, None] - np.arange(1, CONTEXT + 1)].astype(np.int64), stream[at].astype(np.int64)
 
 
-def mean_of_parts(model: Model, positions: DataFrame, output_counts: np.ndarray, rate: float) -> Model:
+def mean_of_parts(model: Model, streams: DataFrame, output_counts: np.ndarray, rate: float, turn: int = 0, rounds: int = 1) -> Model:
     """One round: each task trains on its part; the mean of their parameters, weighted by positions."""
-    shared = positions.sparkSession.sparkContext.broadcast((model, output_counts))
+    shared = streams.sparkSession.sparkContext.broadcast((model, output_counts))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun, counts = shared.value
         now, seen = begun, 0
         for batch in batches:
-            for seed, packed in zip(batch.column("seed").to_pylist(), batch.column("positions").to_pylist(), strict=True):
-                rows = np.frombuffer(packed, dtype="<u2").reshape(-1, CONTEXT + 1).astype(np.int64)
-                if len(rows):
-                    now = now.train(rows[:, :CONTEXT], rows[:, CONTEXT], counts, rate, seed)
-                    seen += len(rows)
+            for seed, packed in zip(batch.column("seed").to_pylist(), batch.column("outputs").to_pylist(), strict=True):
+                before, target = positions_of(np.frombuffer(packed, dtype="<u2"), len(counts), turn, rounds)
+                if len(target):
+                    now = now.train(before, target, counts, rate, seed)
+                    seen += len(target)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([now.flat()], pa.list_(pa.float32()))], names=["seen", "flat"])
 
-    parts = positions.mapInArrow(train, "seen long, flat array<float>").select("seen", F.posexplode("flat").alias("place", "value"))
+    parts = streams.mapInArrow(train, "seen long, flat array<float>").select("seen", F.posexplode("flat").alias("place", "value"))
     weighted = F.sum(F.col("value").cast("double") * F.col("seen")) / F.sum("seen")
     rows = parts.groupBy("place").agg(weighted.alias("value")).toArrow()  # as many as the model has parameters
     if not rows.num_rows:
@@ -259,7 +272,7 @@ def mean_of_parts(model: Model, positions: DataFrame, output_counts: np.ndarray,
     return model.filled(flat)
 
 
-def score(docs: DataFrame, training: DataFrame, shortlist: int = 255, tails: int = 64, width: int = 16, head: int = 1 << 17, stride: int = 8, rounds: int = 3, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, shortlist: int = 255, tails: int = 64, width: int = 16, head: int = 1 << 17, rounds: int = 3, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score and score (log10), and what keep adds.
 
     training: the documents to learn from.
@@ -269,10 +282,10 @@ def score(docs: DataFrame, training: DataFrame, shortlist: int = 255, tails: int
     counts = cut(count_words(training, text_col, tails))
     v = vocabulary(counts, training.count(), head, shortlist, tails)
     shared = spark.sparkContext.broadcast(v)
-    positions = cut(training_positions(training, shared, stride, text_col))
+    streams = cut(training_stream(training, shared, text_col))
     model = Model.fresh(v.output_counts, width)
     for turn in range(rounds):
-        model = mean_of_parts(model, positions, v.output_counts, rate / (1 + turn))
+        model = mean_of_parts(model, streams, v.output_counts, rate / (1 + turn), turn, rounds)
     with_model = spark.sparkContext.broadcast((v, model))
     known_end, base_end = int(v.ends > 0), math.log10((v.ends + 0.5) / v.base_scale)
 

@@ -101,6 +101,32 @@ def test_training_follows_the_data():
     assert trained.log_probabilities(before, target).mean() > -0.2 > model.log_probabilities(before, target).mean()
 
 
+def test_training_sees_every_position(docs, monkeypatch):
+    """All (context, target) pairs of all training documents, each once over all rounds."""
+    trained, real = [], lm.mean_of_parts
+
+    def noted(model, streams, counts, rate, turn, rounds):
+        for r in streams.collect():
+            trained.extend(lm.positions_of(np.frombuffer(r["outputs"], dtype="<u2"), len(counts), turn, rounds)[1])
+        return real(model, streams, counts, rate, turn, rounds)
+
+    monkeypatch.setattr(lm, "mean_of_parts", noted)
+    found = lm.score(docs.limit(1), docs).collect()
+    assert len(trained) == sum(len(words(r["text"])) + 1 for r in docs.select("text").collect()) == found[0]["train_tokens"]
+    assert trained.count(0) == docs.count()
+
+
+def test_rounds_share_out_all_positions():
+    texts = [[7, 8, 9, 0], [0], [3, 0], list(range(1, 30)) + [0]]
+    stream = np.concatenate([np.array([50] * lm.CONTEXT + t, dtype=np.uint16) for t in texts])
+    expected = Counter((*b, t) for x in texts for b, t in zip(lm.contexts_of(np.array(x), 50).tolist(), x, strict=True) for b in [tuple(b)])
+    found = Counter()
+    for turn in range(3):
+        before, target = lm.positions_of(stream, 50, turn, 3)
+        found.update((*b, t) for b, t in zip(map(tuple, before.tolist()), target.tolist(), strict=True))
+    assert found == expected
+
+
 def test_contexts():
     assert lm.contexts_of(np.array([7, 8, 9]), 5).tolist() == [[5, 5, 5, 5], [7, 5, 5, 5], [8, 7, 5, 5]]
     assert lm.tail_class(b"...", 64) == zlib.crc32(b"..") % 64
