@@ -1,8 +1,9 @@
 """Substring deduplication by hashing lines and the sentences of lines.
 
 Units are lines (ended by a line feed) of at least `min_line_words` words, and sentences (ended by `.`, `!` or `?` before
-white space) of at least `min_sentence_words` words in lines of more than one sentence. A unit is normalised (compatible
-Unicode forms, lower case, white space runs as one space) and hashed to 128 bits. Digests are grouped over all documents;
+white space) of at least `min_sentence_words` words. A unit is normalised (compatible Unicode forms, lower case, white space
+runs as one space; sentences without their closing punctuation) and hashed to 128 bits. A line of one sentence is that
+sentence, too, so a passage is found as a line of its own and within a longer line. Digests are grouped over all documents;
 the occurrence with the least (doc_id, offset) stays and every other one is removed, a line with its line feed. Original
 offsets (code points, ends exclusive) are kept with what is removed.
 
@@ -50,18 +51,22 @@ def units(text: str, min_line_words: int, min_sentence_words: int) -> Iterator[t
         end = len(text) if stop < 0 else stop + 1
         line = text[start:end]
         clean = normalised(line)
-        if clean.count(" ") + 1 >= min_line_words and clean:
+        pieces, at = [], 0
+        for stop_at in [*(m.end() for m in SENTENCE_END.finditer(line)), len(line)]:
+            if line[at:stop_at].strip():
+                pieces.append((at, stop_at))
+            at = stop_at
+        as_sentence = False
+        for at, stop_at in pieces:
+            sentence = clean if len(pieces) == 1 else normalised(line[at:stop_at])
+            sentence = sentence.rstrip(".!? ")
+            if sentence and sentence.count(" ") + 1 >= min_sentence_words:
+                as_sentence = len(pieces) == 1
+                span = (start, end) if as_sentence else (start + at, start + at + len(line[at:stop_at].rstrip()))
+                yield *span, *digest("s:" + sentence)
+        # Lines that equal an ASCII line of one sentence have one sentence, too, so that the sentence is enough.
+        if not (as_sentence and line.isascii()) and clean and clean.count(" ") + 1 >= min_line_words:
             yield start, end, *digest(clean)
-            at, pieces = 0, 0
-            ends = [m.end() for m in SENTENCE_END.finditer(line)]
-            for stop_at in [*ends, len(line)]:
-                sentence = line[at:stop_at]
-                pieces += bool(sentence.strip())
-                if stop_at < len(line.rstrip()) or pieces > 1:
-                    clean = normalised(sentence)
-                    if clean.count(" ") + 1 >= min_sentence_words:
-                        yield start + at, start + stop_at, *digest("s:" + clean)
-                at = stop_at
         start = end
 
 
