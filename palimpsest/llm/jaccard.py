@@ -303,7 +303,8 @@ def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, per
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id and cid (equal for equal sets)."""
+    """One row per document row: doc_id, n_shingles, component_id, cid (equal for equal sets) and root (equal within a
+    component and in no other, which ids that are null or repeated can't tell; null for empty sets)."""
     scanned = cut(profile(docs, size, id_col, text_col))
     frequent, rank = frequent_tokens(scanned)
     rows = scanned.where("token IS NULL").select("doc_id", "n", "cid")
@@ -331,8 +332,8 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         roots = cut(connected_components(links.unionByName(more)))
     placed = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least_id", F.coalesce("root", "cid").alias("root"))
     named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_class = placed.join(named, "root").select("cid", "component_id")
-    return rows.join(by_class, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cid")
+    by_class = placed.join(named, "root").select("cid", "component_id", "root")
+    return rows.join(by_class, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cid", "root")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,7 +341,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     those with equal texts. Documents without words are no one's duplicates and all stay.
     """
     found = components(docs, size, percent, id_col, text_col)
-    kept = cut(found.where(F.col("n_shingles") > 0).groupBy("component_id").agg(F.min(F.struct("doc_id", "cid")).alias("k")).select("k.doc_id", "k.cid"))
+    kept = cut(found.where(F.col("n_shingles") > 0).groupBy("root").agg(F.min(F.struct("doc_id", "cid")).alias("k")).select("k.doc_id", "k.cid"))
     columns = docs.columns
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.components(table(spark, sf_dir, "documents")).drop("cid")
+    return jaccard.components(table(spark, sf_dir, "documents")).drop("cid", "root")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

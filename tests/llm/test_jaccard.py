@@ -107,3 +107,14 @@ def test_keep_one(docs):
     kept = J.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "4", "5", "7", "8", "9", "10", "None"])
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    """What links decides, not the ids: unlinked texts all stay, of linked ones a single one does."""
+    texts = [" ".join(f"{name}{k}" for k in range(30)) for name in "abcdefg"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (8, texts[3]), (8, texts[4]), (8, texts[4]), (9, texts[5]), (9, texts[5] + " more"), (10, texts[6]), (None, None), (8, "")]
+    kept = [tuple(r) for r in J.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    linked = [k for k in kept if k[0] == 9]
+    assert len(linked) == 1 and linked[0] in rows
+    expected = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (8, texts[3]), (8, texts[4]), (10, texts[6]), (None, None), (8, "")]
+    assert sorted(map(repr, set(kept) - set(linked))) == sorted(map(repr, expected)) and len(kept) == len(expected) + 1
