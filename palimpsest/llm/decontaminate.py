@@ -7,8 +7,9 @@ Only what is proven small is broadcast: the item table is measured first, and be
 slices by hash; the documents then pass through one scan for each slice and no shuffle is needed either way.
 
 Defined cases: null and empty texts have no words, no hits and are clean; items without words have no window; repeated
-rows are kept and each gets its own result; two items with the same words both count; an empty item table hits nothing;
-other columns of either table are ignored.
+rows are kept and each gets its own result; two items with the same words both count; items with a null id hit words like
+others, and count as one item, a null, together; an empty item table hits nothing; other columns of either table are
+ignored.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 class WindowIndex:
     """The windows of some items: by length, a sorted array of hashes, their words for verification, and their items."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], n: int):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], n: int):
         self.vocabulary: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
+        by_length: dict[int, dict[tuple[int, ...], set[str | None]]] = defaultdict(lambda: defaultdict(set))
         for item, text in items:
             words = (text or b"").translate(TO_WORDS).split()
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
@@ -52,12 +53,12 @@ class WindowIndex:
             hashes = window_hashes(matrix)
             order = np.argsort(hashes, kind="stable")
             owners = list(found.values())
-            self.windows.append((size, hashes[order], matrix[order], [sorted(owners[i]) for i in order]))
+            self.windows.append((size, hashes[order], matrix[order], [in_order(owners[i]) for i in order]))
 
-    def scan(self, ids: np.ndarray) -> tuple[np.ndarray, set[str]]:
+    def scan(self, ids: np.ndarray) -> tuple[np.ndarray, set[str | None]]:
         """Mark of each word that is hit, and the items whose windows occur."""
         hit = np.zeros(len(ids) + 1, dtype=np.int32)
-        items: set[str] = set()
+        items: set[str | None] = set()
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
         for size, hashes, words, owners in self.windows:
             if len(ids) < size:
@@ -81,6 +82,11 @@ class WindowIndex:
         return np.cumsum(hit[:-1]) > 0, items
 
 
+def in_order(items: set[str | None]) -> list[str | None]:
+    """By string, a null last."""
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
 def window_hashes(matrix: np.ndarray) -> np.ndarray:
     out = np.zeros(len(matrix), dtype=np.uint64)
     with np.errstate(over="ignore"):
@@ -124,7 +130,7 @@ def scanner(shared, n: int):
                 spans = runs(marks) if marks.any() else []
                 counts.append(len(ids))
                 hits.append([{"start": a, "end": b} for a, b in merge([(x["start"], x["end"]) for x in was_hit], spans)])
-                items.append(sorted({*had, *found}))
+                items.append(in_order({*had, *found}))
             made = {
                 "n_words": pa.array(counts, pa.int64()),
                 "hits": pa.array(hits, pa.list_(span)),
@@ -149,7 +155,7 @@ def find_overlaps(
 ) -> DataFrame:
     """One row per document row: doc_id, text (bytes), n_words, hits (runs of hit words, end exclusive) and items.
 
-    items: the ids, as strings, of items with an occurring window, in the order of strings. carry: the document's own
+    items: the ids, as strings, of items with an occurring window, in the order of strings, and last a null if one has no id. carry: the document's own
     columns ride along as the struct `row`.
     """
     spark = docs.sparkSession
@@ -168,7 +174,7 @@ def find_overlaps(
     )
     for k in range(slices):
         part = small if slices == 1 else small.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        rows = part.where(F.col("item_id").isNotNull()).collect()  # about slice_bytes
+        rows = part.collect()  # about slice_bytes
         listed = [(r["item_id"], (r["text"] or "").encode()) for r in rows]
         found = found.mapInArrow(scanner(spark.sparkContext.broadcast(listed), n), found.schema)
     return found

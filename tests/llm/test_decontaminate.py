@@ -50,3 +50,22 @@ def test_actions_keep_columns(spark, docs):
     assert {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 4, 8, 9, 10, None}
     cleaned = {r["doc_id"]: r["text"] for r in D.decontaminate(docs, items, action="spans").collect()}
     assert cleaned[7] == "" and cleaned[5].startswith("The quick  jumps") and cleaned[1] is None and len(cleaned) == 11
+
+
+def test_items_with_a_null_id_hit_words(spark, docs, tmp_path):
+    """They count as one item without a name, as in the query's SQL."""
+    from palimpsest.llm.queries import op8_decontaminate
+
+    items = [(None, "fox jumps over the lazy dog near the river bank today"), (None, "quick brown fox jumps"), (4, "lazy dog"), (None, "two")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for options in ({}, {"slice_bytes": 100}):
+        found = result(D.find_overlaps(docs, table, **options))
+        assert found[5] == (14, 13, ["4", None]) and found[7] == (2, 1, [None]) and found[10][1:] == (0, [])
+    kept = {r["doc_id"] for r in D.decontaminate(docs, table).collect()}
+    assert not {5, 6, 7} & kept and {1, 2, 3, 4, 8, 9, 10} <= kept
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    table.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {r["doc_id"]: r for r in op8_decontaminate(spark, str(tmp_path)).collect()}
+    sha = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # of the empty text
+    assert (rows[7]["n_hit"], rows[7]["n_items"], rows[7]["items_sha256"], rows[7]["contaminated"]) == (1, 1, sha, True)
+    assert rows[5]["n_items"] == 2
