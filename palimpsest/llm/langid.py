@@ -140,14 +140,11 @@ def fit(docs: DataFrame, sample_rows: int = 3000, max_words: int = 100_000, max_
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     per_lang = rows.groupBy("lang").count()
-    # One row for each language; a language's share of rows is kept by the hash of their ids.
-    shares = {r["lang"]: min(1.0, sample_rows / r["count"]) for r in per_lang.orderBy(F.desc("count"), "lang").limit(1000).collect()}
-    if not shares:
+    # A language's share of rows is kept by the hash of their ids. One row for each language, as in the model itself.
+    shares = per_lang.select("lang", F.least(F.lit(1.0), sample_rows / F.col("count")).alias("share"))
+    if rows.isEmpty():
         return Model([], max_grams)
-    share = F.lit(0.0)
-    for lang, s in shares.items():
-        share = F.when(F.col("lang") == lang, F.lit(s)).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
+    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()

@@ -29,6 +29,14 @@ def test_backoff_goes_from_words_to_shorter_grams():
     assert scorer.predict(b"things derb thinge dern therm") == langid.Scorer(model).predict(b"things derb thinge dern therm")
 
 
+def test_language_learns_every_language(spark):
+    def own(k):
+        return "".join(chr(97 + k // 26**i % 26) for i in range(3)) * 2
+
+    df = spark.createDataFrame([(k, own(k), f"l{k:04}") for k in range(1100)], "doc_id long, text string, lang string")
+    assert len(langid.fit(df).languages) == 1100
+
+
 def test_language_on_held_out(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
