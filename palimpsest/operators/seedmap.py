@@ -7,11 +7,12 @@ from __future__ import annotations
 import json
 import secrets
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions.strategies import Strategy, get_strategy, masked, valid
+from palimpsest.functions.strategies import Strategy, get_strategy
 from palimpsest.operators.profile import quote
+from palimpsest.sources import files
 
 SCHEMA = "seed string, scope string, value_hash string, masked_value string, strategy string, created_at timestamp"
 UNTRACKED = ("null", "blank", "redact")
@@ -29,31 +30,25 @@ def value_hash(salt: str, scope_name: str, value: Column) -> Column:
 
 
 class SeedMap:
-    """A folder with the pairs (Parquet) and a sidecar with the salt, on any file system Spark can reach."""
+    """A folder with the pairs (Parquet, a folder for each scope) and a sidecar with the salt, on any file system Spark
+    can reach. untracked: strategies whose pairs aren't kept."""
 
-    def __init__(self, spark: SparkSession, path: str, salt: str | None = None):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, salt: str | None = None, untracked: tuple[str, ...] = UNTRACKED):
+        self.spark, self.path, self.untracked = spark, path.rstrip("/"), tuple(u.lower() for u in untracked)
         self.salt = salt if salt is not None else self._stored_salt()
 
     def _stored_salt(self) -> str:
         """A salt made once and kept; a configured one is never stored."""
         at = f"{self.path}/meta.json"
-        if self._fs.exists(self._path(at)):
-            return json.loads("".join(r["value"] for r in self.spark.read.text(at).collect()))["salt"]
-        salt = secrets.token_hex(16)
-        self._write(at, json.dumps({"salt": salt}))
-        return salt
+        if files.read_text(self.spark, at) is None:
+            files.write_text(self.spark, at, json.dumps({"salt": secrets.token_hex(16)}))
+        return json.loads(files.read_text(self.spark, at))["salt"]
 
-    def _write(self, at: str, text: str) -> None:
-        out = self._fs.create(self._path(at), False)  # fails if another writer was faster
-        out.write(bytearray(text.encode()))
-        out.close()
+    def tracks(self, strategy: str) -> bool:
+        return strategy.lower() not in self.untracked
 
     def pairs(self) -> DataFrame:
-        if not self._fs.exists(self._path(f"{self.path}/pairs")):
+        if not files.exists(self.spark, f"{self.path}/pairs"):
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/pairs")
 
@@ -64,40 +59,42 @@ class SeedMap:
         return self.pairs().orderBy("created_at", "scope", "value_hash").limit(limit)
 
     def lookup(self, df: DataFrame, column: str, scope_name: str, name: str = "stored") -> DataFrame:
-        """df with the stored replacement of column's value, null where there is none; a left join on the hash."""
-        mine = self.pairs().where(F.col("scope") == scope_name).select(F.col("value_hash").alias("__h"), F.col("masked_value").alias(name))
-        return df.withColumn("__h", value_hash(self.salt, scope_name, F.col(quote(column)))).join(mine, "__h", "left").drop("__h")
+        """df with the stored replacement of column's value, null where there is none; a left join on the hash.
+
+        Nulls have no pair: each joins by a key of its row's own, so that they don't meet in one task.
+        """
+        mine = self.pairs().where(F.col("scope") == scope_name).select("value_hash", "masked_value")
+        own = F.concat(F.lit("-"), F.xxhash64(*[F.col(quote(c)) for c in df.columns]).cast("string"))
+        keyed = df.select(F.struct(*[F.col(quote(c)) for c in df.columns]).alias("row"), F.coalesce(value_hash(self.salt, scope_name, F.col(quote(column))), own).alias("value_hash"))
+        return keyed.join(mine, "value_hash", "left").select("row.*", F.col("masked_value").alias(name))
+
+    def fresh(self, new: DataFrame, scope_name: str, strategy: str) -> DataFrame:
+        """The pairs of new (value, masked_value) whose hash isn't stored; of several for a value the least stays."""
+        h = value_hash(self.salt, scope_name, F.col("value"))
+        one = new.where("value IS NOT NULL AND masked_value IS NOT NULL AND masked_value <> ''").groupBy(h.alias("value_hash")).agg(F.min("masked_value").alias("masked_value"))
+        stored = self.pairs().where(F.col("scope") == scope_name).select("value_hash")
+        return one.join(stored, "value_hash", "left_anti").select(
+            F.substring("value_hash", 1, 16).alias("seed"), F.lit(scope_name).alias("scope"), "value_hash", "masked_value", F.lit(strategy).alias("strategy"), F.current_timestamp().alias("created_at")
+        )
 
     def record(self, new: DataFrame, scope_name: str, strategy: str) -> int:
-        """Append the pairs (value, masked_value) whose hash isn't stored; of several for a value the least stays."""
-        lock = f"{self.path}/writer.lock"
-        self._write(lock, "")
-        try:
-            h = value_hash(self.salt, scope_name, F.col("value"))
-            fresh = new.where("value IS NOT NULL AND masked_value IS NOT NULL AND masked_value <> ''").groupBy(h.alias("value_hash")).agg(F.min("masked_value").alias("masked_value"))
-            stored = self.pairs().where(F.col("scope") == scope_name).select("value_hash")
-            rows = fresh.join(stored, "value_hash", "left_anti").select(
-                F.substring("value_hash", 1, 16).alias("seed"), F.lit(scope_name).alias("scope"), "value_hash", "masked_value", F.lit(strategy).alias("strategy"), F.current_timestamp().alias("created_at")
-            )
-            before = self.count()
-            rows.write.mode("append").parquet(f"{self.path}/pairs")
-            return self.count() - before
-        finally:
-            self._fs.delete(self._path(lock), False)
+        """Append fresh(); how many pairs these are. One writer at a time."""
+        with files.lock(self.spark, f"{self.path}/writer.lock"):
+            seen = Observation()
+            rows = self.fresh(new, scope_name, strategy).observe(seen, F.count("*").alias("n"))
+            rows.write.mode("append").partitionBy("scope").parquet(f"{self.path}/pairs")
+            return seen.get["n"]
 
 
 def mask_with(df: DataFrame, column: str, strategy: str, seed: str, pairs: SeedMap, write: bool = True) -> DataFrame:
     """df with column masked: stored replacements first, made ones otherwise; these are recorded unless write is False.
 
-    A value that the strategy can't replace stays invalid whether a pair is stored or not (see mask.gate()).
+    For a whole plan, with the gate and its checks, see mask.apply().
     """
-    kind, made = dict(df.dtypes)[column], get_strategy(strategy)
-    new = masked(made, column, kind, seed)
-    if strategy in UNTRACKED:
-        return df.withColumn(column, new)
-    name = scope(made)
+    from palimpsest.operators import mask  # which uses this module
+
+    plan = [mask.ColumnPlan(column, strategy)]
     if write:
-        fresh = df.where(F.col(quote(column)).isNotNull() & valid(made, column, kind)).select(F.col(quote(column)).cast("string").alias("value"), new.cast("string").alias("masked_value")).distinct()
-        pairs.record(fresh, name, strategy)
-    looked_up = pairs.lookup(df.withColumn("__new", new), column, name, "__stored")
-    return looked_up.withColumn(column, F.coalesce(F.expr(f"try_cast(__stored AS {kind})"), F.col("__new"))).select(*df.columns)
+        mask.remember(df, plan, seed, pairs)
+    both, (name,) = mask._with_replacements(df, plan, seed, pairs)
+    return both.select(*[F.col(name).alias(c) if c.lower() == column.lower() else F.col(quote(c)) for c in df.columns])
