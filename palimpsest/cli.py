@@ -11,21 +11,54 @@ from pyspark.sql import SparkSession
 
 from palimpsest.functions.strategies import STRATEGIES
 from palimpsest.operators import mask as masking
-from palimpsest.operators.seedmap import SeedMap
 from palimpsest.operators.validate import TableMeta
 from palimpsest.plans import config as settings
-from palimpsest.plans import decide, history, runs
+from palimpsest.plans import decide, history, llmclassify, runs
 from palimpsest.sources.catalog import Catalog
 
 
 def _catalog(spark: SparkSession, config: settings.Config, path: str) -> Catalog:
     names = {*config.keys, *config.generated}
-    return Catalog(spark, path, {t: TableMeta(keys=config.keys.get(t, []), generated=config.generated.get(t, [])) for t in names})
+    return Catalog(spark, path, {t: TableMeta(keys=config.keys.get(t, []), generated=config.generated.get(t, [])) for t in names}, schemas=config.schemas or None)
+
+
+def _store(config: settings.Config) -> history.Store | None:
+    """JSON keeps records and suggestions; any other file is a reviewed sheet that only history-writeback changes."""
+    if not config.history:
+        return None
+    return history.History(config.history) if config.history.endswith(".json") else history.FileHistory(config.history)
 
 
 def _scan(spark: SparkSession, config: settings.Config) -> decide.Report:
-    kept = history.History(config.history) if config.history else None
-    return decide.scan(_catalog(spark, config, config.source), config.detection, history=kept)
+    return decide.scan(_catalog(spark, config, config.source), config.detection, history=_store(config), classifier=llmclassify.from_settings(config.llm))
+
+
+def _review(path: str, store: history.Store | None, report: decide.Report, config: settings.Config) -> None:
+    records = [decide.as_record(report.catalog.name, d, config.detection.user_id) for d in report.found]
+    if isinstance(store, history.FileHistory):
+        known = {r.place: r for r in store.for_review()}
+        history.export_review(store, path, [known.get(r.place, r) for r in records])
+    else:
+        history.write_file(path, records)
+
+
+def _history(args: argparse.Namespace, store: history.Store) -> int:
+    if args.command == "history-import":
+        print(json.dumps(store.import_records(history.read_file(args.file), args.overwrite_approved, preview=not args.apply)))
+    elif args.command == "history-export":
+        if isinstance(store, history.FileHistory):
+            history.export_review(store, args.file, store.for_review())
+        else:
+            history.write_file(args.file, store.for_review())
+    elif args.command == "history-writeback":
+        if not isinstance(store, history.FileHistory):
+            print("only a history that is a review file can be written back to", file=sys.stderr)
+            return 2
+        print(json.dumps(history.write_back(store, args.file, args.reviewed_by, args.apply)))
+    else:
+        for r in store.for_review():
+            print(r.table, r.column, r.decision, r.review_status)
+    return 0
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -34,7 +67,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     commands = parser.add_subparsers(dest="command", required=True)
     scan = commands.add_parser("scan")
     scan.add_argument("--json", action="store_true")
-    scan.add_argument("--output")
+    scan.add_argument("--output", help="a new sheet for review")
+    scan.add_argument("--run-file", help="also save the plan there")
     commands.add_parser("plan")
     approve = commands.add_parser("approve")
     approve.add_argument("run_file")
@@ -44,6 +78,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     mask.add_argument("--run-file")
     mask.add_argument("--show-values", action="store_true")
     mask.add_argument("--allow-partial", action="store_true")
+    mask.add_argument("--resumable", action="store_true", help="every run is: finished tables are recorded")
+    mask.add_argument("--resume", action="store_true", help="go on with a run that broke off")
+    mask.add_argument("--remask-reason", help="mask again, in place of what a recorded run wrote")
     check = commands.add_parser("validate")
     check.add_argument("--json", action="store_true")
     check.add_argument("--strict", action="store_true")
@@ -54,6 +91,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         sub.add_argument("file")
         sub.add_argument("--apply", action="store_true")
         sub.add_argument("--overwrite-approved", action="store_true")
+    back = commands.add_parser("history-writeback")
+    back.add_argument("file")
+    back.add_argument("--reviewed-by", required=True)
+    back.add_argument("--apply", action="store_true")
     commands.add_parser("seeds")
     commands.add_parser("strategies")
     args = parser.parse_args(argv)
@@ -62,21 +103,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     config = settings.load(args.config)
     if args.command.startswith("history"):
-        store = history.History(config.history or "history.json")
-        if args.command == "history-import":
-            print(json.dumps(store.import_records(history.read_file(args.file), args.overwrite_approved, preview=not args.apply)))
-        elif args.command == "history-export":
-            history.write_file(args.file, store.for_review())
-        else:
-            for r in store.for_review():
-                print(r.table, r.column, r.decision, r.review_status)
-        return 0
+        return _history(args, _store(config) or history.History("history.json"))
     if args.command == "approve":
         runs.Run.load(args.run_file).approve(args.reviewer)
         return 0
     spark = spark or SparkSession.builder.appName("palimpsest").getOrCreate()
     if args.command == "seeds":
-        for r in SeedMap(spark, config.seed_map.path or "seeds", config.seed_map.salt or "").all_pairs().collect():
+        pairs = runs.seed_map(spark, config)
+        if pairs is None:
+            print("no seed map is configured", file=sys.stderr)
+            return 2
+        for r in pairs.all_pairs().collect():
             print(r["scope"], r["value_hash"][:16], r["masked_value"])
         return 0
     if args.command in ("scan", "plan"):
@@ -89,7 +126,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for d in report.found:
                 print(d.table, d.column, d.sensitivity, d.rule or "-", d.source)
         if args.command == "scan" and args.output:
-            history.write_file(args.output, [history.Record("main", "", d.table, d.column, {"sensitive": "mask", "not_sensitive": "keep"}.get(d.sensitivity, "review"), d.rule or "", data_type=d.data_type) for d in report.found])
+            _review(args.output, _store(config), report, config)
+        if args.command == "scan" and args.run_file:
+            runs.Run.create(config.runs, report, config, args.run_file)
         return 3 if report.errors else 0
     source = _catalog(spark, config, config.source)
     if args.command == "mask":
@@ -97,7 +136,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             if not args.run_file:
                 print("--apply needs the run file of an approved plan", file=sys.stderr)
                 return 2
-            for t, r in runs.apply(runs.Run.load(args.run_file), source, config).items():
+            for t, r in runs.apply(runs.Run.load(args.run_file), source, config, args.resume, args.remask_reason).items():
                 print(t, r.rows, "masked:", ",".join(r.columns) or "-", "left as keys:", ",".join(r.skipped_columns) or "-")
             return 0
         report = _scan(spark, config)
@@ -106,16 +145,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return 2
         if config.masking.seed == settings.Masking().seed:
             print("warning: the default seed is in use", file=sys.stderr)
+        pairs = runs.seed_map(spark, config)
         for t in source.tables():
             plans = decide.plan_table(report.found, t, config.masking)
             if plans:
-                result = masking.dry_run(source.table(t), plans, source.keys(t), config.masking.seed, read_only=source.read_only(t))
+                result = masking.dry_run(source.table(t), plans, source.keys(t), config.masking.seed, read_only=source.read_only(t), pairs=pairs)
                 print(t, result.rows, "would be masked:", ",".join(result.columns) or "-")
-                for row in result.preview if args.show_values else []:
-                    print(" ", {c: row[c] for c in result.columns})
+                for row in result.preview:  # originals as asterisks
+                    print(" ", {c: f"{before} -> {after if args.show_values else '(hidden)'}" for c, (before, after) in row.items()})
         return 0
     target = _catalog(spark, config, config.target)
-    issues = runs.validate_run(runs.Run.load(args.run_file), source, target, config) if args.run_file else runs.check(source, target, _scan(spark, config).found, config)
+    if args.run_file:
+        issues = runs.validate_run(runs.Run.load(args.run_file), source, target, config)
+    else:
+        report = _scan(spark, config)
+        issues = runs.check(source, target, report.found, config, errors=report.errors)
     print(json.dumps([asdict(i) for i in issues]) if args.json else "\n".join(f"{i.check} {i.status} {i.table} {i.column} {i.message} {i.detail or ''}" for i in issues))
     return 0 if runs.passed(issues, args.strict) else 1
 

@@ -48,11 +48,14 @@ class Detection:
     overrides_file: str | None = None
     skip_column_patterns: list[str] = field(default_factory=list)
     skip_table_patterns: list[str] = field(default_factory=list)
+    user_id: str = "palimpsest"
 
 
 @dataclass
 class Llm:
     enabled: bool = False
+    provider: str = "http"
+    options: dict = field(default_factory=dict)
     budget: int = 1_000_000
     sample_size: int = 50
     send_values: bool = True
@@ -97,6 +100,11 @@ class Validation:
     ignore_test_data: bool = True
     columns: list[str] = field(default_factory=list)
 
+    def __post_init__(self):
+        for name in self.columns:
+            if len(name.split(".")) != 3 or not all(name.split(".")):
+                raise ValueError("columns to validate are named schema.table.column")
+
 
 @dataclass
 class Config:
@@ -104,6 +112,7 @@ class Config:
     target: str = ""
     keys: dict[str, list[str]] = field(default_factory=dict)
     generated: dict[str, list[str]] = field(default_factory=dict)
+    schemas: list[str] = field(default_factory=list)
     history: str | None = None
     runs: str = ".palimpsest/runs"
     detection: Detection = field(default_factory=Detection)

@@ -17,8 +17,9 @@ from palimpsest.operators import profile
 from palimpsest.operators.mask import ColumnPlan
 from palimpsest.plans.config import Detection, Masking
 from palimpsest.plans.history import History, Record
+from palimpsest.plans.documents import now, safe
 from palimpsest.plans.llmclassify import Classifier
-from palimpsest.sources.catalog import Catalog
+from palimpsest.sources.catalog import Catalog, split
 
 SENSITIVE, NOT_SENSITIVE, UNKNOWN = "sensitive", "not_sensitive", "unknown"
 
@@ -78,13 +79,14 @@ class Report:
     found: list[Decision] = field(default_factory=list)
     evidence: list[dict] = field(default_factory=list)
     errors: dict[str, str] = field(default_factory=dict)
+    tokens: int = 0
 
     def decisions(self) -> DataFrame:
         kinds = "table string, column string, sensitivity string, rule string, source string, confidence double, detail string, data_type string, masking_strategy string"
         return self.catalog.spark.createDataFrame([tuple(asdict(d).values()) for d in self.found], kinds).withColumnsRenamed({"table": "table_name", "column": "column_name"})
 
     def stats(self) -> dict:
-        return {"total": len(self.found), "by_source": dict(Counter(d.source for d in self.found)), "sensitive": sum(d.sensitivity == SENSITIVE for d in self.found), "unknown": sum(d.sensitivity == UNKNOWN for d in self.found)}
+        return {"total": len(self.found), "by_source": dict(Counter(d.source for d in self.found)), "sensitive": sum(d.sensitivity == SENSITIVE for d in self.found), "unknown": sum(d.sensitivity == UNKNOWN for d in self.found), "errors": len(self.errors), "tokens": self.tokens}
 
 
 def _skipped(name: str, patterns: list[str]) -> bool:
@@ -100,23 +102,36 @@ def scan(catalog: Catalog, settings: Detection | None = None, overrides: Overrid
         try:
             _scan_table(catalog, table, settings, overrides, history, classifier, report)
         except Exception as e:  # the text may hold values
-            report.errors[table] = type(e).__name__
+            report.errors[table] = safe(e)
+    report.tokens = classifier.used if classifier else 0
     return report
 
 
+def _asked(classifier: Classifier, table: str, column: str, kind: str, values: list[str]) -> Decision:
+    """The language model's decision: unknown if it isn't sure, its answer isn't one, it fails or the budget is spent."""
+    try:
+        answer = classifier.classify(table, column, kind, values)
+    except Exception as e:  # the text may hold values
+        return Decision(table, column, UNKNOWN, None, "llm", detail=safe(e), data_type=kind)
+    if answer is None:
+        return Decision(table, column, UNKNOWN, None, "llm", detail="not confident enough", data_type=kind)
+    return Decision(table, column, SENSITIVE if answer.sensitive else NOT_SENSITIVE, answer.rule, "llm", answer.confidence, data_type=kind)
+
+
 def _scan_table(catalog, table, settings, overrides, history, classifier, report) -> None:
     df = catalog.table(table)
     kinds, supported = dict(df.dtypes), set(profile.supported_columns(df))
+    schema, base = split(table)
     early: dict[str, Decision] = {}
     for column, kind in kinds.items():
-        override = overrides.find(catalog.name, "", table, column)
-        record = history.get(catalog.name, "", table, column, kind) if history and settings.use_history else None
+        override = overrides.find(catalog.name, schema, base, column)
+        record = history.get(catalog.name, schema, base, column, kind) if history and settings.use_history else None
         if override:
             early[column] = Decision(table, column, override[0], override[1], "override", 1.0, data_type=kind)
         elif record and record.review_status == "approved" and record.decision != "review":
             early[column] = Decision(table, column, SENSITIVE if record.decision == "mask" else NOT_SENSITIVE, record.detected_type or None, "history", 1.0, data_type=kind, masking_strategy=record.masking_strategy or None)
         elif record:
-            early[column] = Decision(table, column, UNKNOWN, None, "history", detail="pending review", data_type=kind)
+            early[column] = Decision(table, column, UNKNOWN, None, "history_pending", detail=record.reason or "pending review", data_type=kind)
         elif _skipped(column, settings.skip_column_patterns) or _skipped(table, settings.skip_table_patterns):
             early[column] = Decision(table, column, NOT_SENSITIVE, None, "skip", 1.0, data_type=kind)
         elif column not in supported:
@@ -149,21 +164,29 @@ def _scan_table(catalog, table, settings, overrides, history, classifier, report
                 decision = Decision(table, column, UNKNOWN, None, "inconclusive", detail="several eligible patterns", data_type=kinds[column])
             elif classifier and counts.get(column):
                 values = [r["value"] for r in samples.where(samples["column_name"] == column).limit(classifier.sample_size).collect()]
-                answer = classifier.classify(table, column, kinds[column], values)
-                if answer is not None:
-                    decision = Decision(table, column, SENSITIVE if answer.sensitive else NOT_SENSITIVE, answer.rule, "llm", answer.confidence, data_type=kinds[column])
+                decision = _asked(classifier, table, column, kinds[column], values)
             report.found.append(decision)
             if history and decision.sensitivity != UNKNOWN:
-                history.suggest(Record(catalog.name, "", table, column, "mask" if decision.sensitivity == SENSITIVE else "keep", decision.rule or "", data_type=kinds[column]))
+                history.suggest(as_record(catalog.name, decision, settings.user_id))
     finally:
         samples.unpersist()
 
 
+def as_record(database: str, decision: Decision, user_id: str) -> Record:
+    """A decision as a record to be reviewed."""
+    schema, base = split(decision.table)
+    action = {SENSITIVE: "mask", NOT_SENSITIVE: "keep"}.get(decision.sensitivity, "review")
+    rule = decision.rule or ""
+    strategy = decision.masking_strategy or DEFAULT_RULE_STRATEGIES.get(rule) or (rule if rule in STRATEGIES else "")
+    return Record(database, schema, base, decision.column, action, rule, strategy if action == "mask" else "", user_id=user_id, reason=decision.detail, analysis_date=now(), data_type=decision.data_type)
+
+
 def strategy_for(decision: Decision, settings: Masking) -> str:
     """A reviewed strategy, else the column's, the rule's, the kind's default, the rule's own name or the default."""
     if decision.masking_strategy is not None:
         return get_strategy(decision.masking_strategy).name
-    for name in (f"main.{decision.table}.{decision.column}", f"{decision.table}.{decision.column}", decision.column):
+    schema, base = split(decision.table)
+    for name in (f"{schema}.{base}.{decision.column}", f"{base}.{decision.column}", decision.column):
         if name.lower() in settings.column_strategies:
             return settings.column_strategies[name.lower()]
     rule = (decision.rule or "").lower()
@@ -180,7 +203,7 @@ def strategy_for(decision: Decision, settings: Masking) -> str:
 def plan_table(decisions: list[Decision], table: str, settings: Masking) -> list[ColumnPlan]:
     """A plan for each sensitive column of the table."""
     return [
-        ColumnPlan(d.column, strategy_for(d, settings), d.rule, tuple(settings.null_placeholders.get(f"{table}.{d.column}", ())))
+        ColumnPlan(d.column, strategy_for(d, settings), d.rule, tuple(settings.null_placeholders.get(f"{'.'.join(split(table))}.{d.column}") or settings.null_placeholders.get(f"{table}.{d.column}", ())))
         for d in decisions
         if d.table == table and d.sensitivity == SENSITIVE
     ]

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import re
+import urllib.request
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
+from palimpsest.plans.documents import pairs_once
+
 
 class Provider(Protocol):
     def ask(self, prompt: str) -> tuple[str, int]:
@@ -32,19 +37,12 @@ def prompt(table: str, column: str, data_type: str, values: list[str] | None) ->
     return "Does this column hold personal or otherwise sensitive data? Answer with one JSON object with the fields sensitive (true or false), rule (snake_case, null if not sensitive) and confidence (0 to 1).\n" + json.dumps(body, ensure_ascii=False)
 
 
-def _no_repeats(pairs: list) -> dict:
-    out = dict(pairs)
-    if len(out) < len(pairs):
-        raise ResponseError("a field is repeated")
-    return out
-
-
 def parse(answer: str) -> Result:
     fenced = re.fullmatch(r"\s*```(?:json)?\s*\n(.*?)\n\s*```\s*", answer, re.DOTALL)
     try:
-        found = json.loads(fenced[1] if fenced else answer, object_pairs_hook=_no_repeats)
-    except json.JSONDecodeError:
-        raise ResponseError("the answer is no JSON object") from None
+        found = json.loads(fenced[1] if fenced else answer, object_pairs_hook=pairs_once)
+    except ValueError:
+        raise ResponseError("the answer is no JSON object with each field once") from None
     if not isinstance(found, dict) or set(found) != {"sensitive", "rule", "confidence"}:
         raise ResponseError("the answer doesn't have the three fields")
     sensitive, rule, confidence = found["sensitive"], found["rule"], found["confidence"]
@@ -82,3 +80,40 @@ class Classifier:
         self.used += tokens
         found = parse(answer)
         return found if found.confidence >= self.min_confidence else None
+
+
+class HttpProvider:
+    """A service that answers over HTTP. style "chat": messages in, choices and usage out; "generate": a prompt in, a
+    response and evaluation counts out. key_variable: the environment variable that holds the key, if there is one."""
+
+    def __init__(self, url: str, model: str, style: str = "chat", key_variable: str | None = None, timeout: float = 60):
+        if style not in ("chat", "generate"):
+            raise ValueError("style must be chat or generate")
+        self.url, self.model, self.style, self.key_variable, self.timeout = url, model, style, key_variable, timeout
+
+    def ask(self, prompt: str) -> tuple[str, int]:
+        body = {"model": self.model, "temperature": 0, "messages": [{"role": "user", "content": prompt}]} if self.style == "chat" else {"model": self.model, "prompt": prompt, "stream": False}
+        headers = {"Content-Type": "application/json"}
+        if self.key_variable:
+            headers["Authorization"] = f"Bearer {os.environ[self.key_variable]}"
+        with urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(body).encode(), headers), timeout=self.timeout) as f:
+            found = json.load(f)
+        if self.style == "chat":
+            return found["choices"][0]["message"]["content"], found["usage"]["total_tokens"]
+        return found["response"], found.get("prompt_eval_count", 0) + found.get("eval_count", 0)
+
+
+PROVIDERS: dict[str, Callable[..., Provider]] = {"http": HttpProvider}
+
+
+def register_provider(name: str, factory: Callable[..., Provider]) -> None:
+    PROVIDERS[name] = factory
+
+
+def from_settings(settings) -> Classifier | None:
+    """What the configuration's section llm asks for; None if it is off."""
+    if not settings.enabled:
+        return None
+    if settings.provider not in PROVIDERS:
+        raise ValueError(f"unknown provider; there are {', '.join(sorted(PROVIDERS))}")
+    return Classifier(PROVIDERS[settings.provider](**settings.options), settings.budget, settings.sample_size, settings.send_values, settings.min_confidence)
