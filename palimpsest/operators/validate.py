@@ -42,18 +42,32 @@ def is_test_data(column: Column | str) -> Column:
     return F.expr(predicates.test_data(SPARK, f"CAST({quote(column)} AS STRING)"))
 
 
+def counted(source: DataFrame, target: DataFrame) -> DataFrame:
+    """One row: source_rows, target_rows, difference and status."""
+    both = source.select(F.lit(1).alias("s")).unionByName(target.select(F.lit(0).alias("s")))
+    counts = both.agg(F.count_if(F.col("s") == 1).alias("source_rows"), F.count_if(F.col("s") == 0).alias("target_rows"))
+    difference = F.col("target_rows") - F.col("source_rows")
+    return counts.withColumns({"difference": difference, "status": F.when(difference == 0, PASS).otherwise(FAIL)})
+
+
 def row_counts(source: dict[str, DataFrame], target: dict[str, DataFrame]) -> list[Issue]:
     out = []
     for name in sorted(source.keys() & target.keys()):
         try:
-            a, b = source[name].count(), target[name].count()
+            r = counted(source[name], target[name]).first()
         except Exception as e:  # the text may hold values
             out.append(Issue("row_count", ERROR, name, message=type(e).__name__))
             continue
-        out.append(Issue("row_count", PASS if a == b else FAIL, name, detail={"source": a, "target": b, "difference": b - a}))
+        out.append(Issue("row_count", r["status"], name, detail={"source": r["source_rows"], "target": r["target_rows"], "difference": r["difference"]}))
     return out
 
 
+def unmatched(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Names (table_name) on one side only, and which side that is."""
+    left = source.join(target, "table_name", "left_anti").withColumn("side", F.lit("source"))
+    return left.unionByName(target.join(source, "table_name", "left_anti").withColumn("side", F.lit("target")))
+
+
 def presence(source: dict[str, DataFrame], target: dict[str, DataFrame]) -> list[Issue]:
     out = [Issue("tables", WARNING, name, message="only in the source") for name in sorted(source.keys() - target.keys())]
     return out + [Issue("tables", WARNING, name, message="only in the target") for name in sorted(target.keys() - source.keys())]
@@ -120,12 +134,18 @@ def completeness(source: DataFrame, target: DataFrame, keys: list[str], columns:
 
 
 def failing_rows(source: DataFrame, target: DataFrame, keys: list[str], column: str, most: int = 5) -> DataFrame:
-    """Up to `most` unmasked rows, as random references, their place in the key's order and asterisks for the value."""
-    from pyspark.sql import Window
+    """The first `most` unmasked rows by key, as random references, their place in the source's order of keys (from 1)
+    and asterisks for the value.
 
-    same = source.select(*keys, F.col(quote(column)).alias("v")).join(target.select(*keys, F.col(quote(column)).alias("w")), keys).where("v IS NOT NULL AND v <=> w")
-    first = same.where(~is_test_data("v")).orderBy(*keys).limit(most)
-    return first.select(F.uuid().alias("row_ref"), F.row_number().over(Window.orderBy(*keys)).alias("place"), F.expr("repeat('*', length(CAST(v AS STRING)))").alias("redacted"))
+    Places are counts of the source's rows up to these few keys, so that nothing is ranked in one task.
+    """
+    listed = [F.col(quote(k)) for k in keys]
+    mine = source.select(F.struct(*listed).alias("k"), F.col(quote(column)).alias("v"))
+    other = target.select(F.struct(*listed).alias("k"), F.col(quote(column)).alias("w"))
+    same = mine.join(other, "k").where("v IS NOT NULL AND v <=> w")
+    first = same.where(~is_test_data("v")).select("k", F.expr("repeat('*', length(CAST(v AS STRING)))").alias("redacted")).orderBy("k").limit(most)
+    before = source.select(F.struct(*listed).alias("mine")).join(F.broadcast(first), F.col("mine") <= F.col("k"))  # `most` rows
+    return before.groupBy("k", "redacted").agg(F.count("*").alias("place")).select(F.uuid().alias("row_ref"), "place", "redacted")
 
 
 def comparable_columns(source: DataFrame, target: DataFrame) -> list[str]:
@@ -134,16 +154,38 @@ def comparable_columns(source: DataFrame, target: DataFrame) -> list[str]:
     return [f.name for f in source.schema.fields if f.name in other and not isinstance(f.dataType, (T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
 
 
+def _row_digest(df: DataFrame, columns: list[str]) -> Column:
+    """128 bits that are equal for equal rows, nulls and both zeros of floats included."""
+    kinds, parts = dict(df.dtypes), []
+    for c in columns:
+        value = F.col(quote(c))
+        if kinds[c] in ("float", "double"):
+            value = F.when(value == 0, F.lit(0.0).cast(kinds[c])).otherwise(value)
+        parts += [value, value.isNull()]
+    return F.struct(F.xxhash64(*parts).alias("h"), F.xxhash64(F.lit(1), *parts).alias("l"))
+
+
 def overlap(source: DataFrame, target: DataFrame, column: str) -> DataFrame:
-    """For tables without a key, one row: shared values of the column (no test data), identical whole rows, and status."""
+    """For tables without a key, one row: shared values of the column (no test data), identical whole rows, and status.
+
+    Only rows with a shared value can be identical; of these, digests are compared, and only rows with a shared digest
+    are compared themselves.
+    """
     columns = comparable_columns(source, target)
     real = F.col(quote(column)).isNotNull() & ~is_test_data(column)
-    shared = source.where(real).select(F.col(quote(column)).alias("v")).intersect(target.where(real).select(F.col(quote(column)).alias("v")))
-    listed = [F.col(quote(c)) for c in columns]
-    rows = source.where(real).select(*listed).intersect(target.where(real).select(*listed))
-    counted = shared.agg(F.count("*").alias("shared_values")).crossJoin(rows.agg(F.count("*").alias("identical_rows")))  # a row each
+    value = F.col(quote(column))
+    shared = source.where(real).select(value.alias("v")).distinct().join(target.where(real).select(value.alias("v")).distinct(), "v", "left_semi")
+
+    def near(df: DataFrame) -> DataFrame:
+        listed = [F.col(quote(c)).alias(f"c{k}") for k, c in enumerate(columns)]
+        return df.where(real).select(value.alias("v"), _row_digest(df, columns).alias("digest"), *listed).join(shared, "v", "left_semi")
+
+    digests = near(source).select("digest").distinct().join(near(target).select("digest").distinct(), "digest", "left_semi")
+    mine, other = (near(df).join(digests, "digest", "left_semi").drop("v", "digest") for df in (source, target))
+    each = shared.agg(F.count("*").alias("n")).select(F.lit("v").alias("kind"), "n").unionByName(mine.intersect(other).agg(F.count("*").alias("n")).select(F.lit("r").alias("kind"), "n"))
+    counts = each.agg(F.max(F.when(F.col("kind") == "v", F.col("n"))).alias("shared_values"), F.max(F.when(F.col("kind") == "r", F.col("n"))).alias("identical_rows"))
     status = F.when(F.col("shared_values") == 0, PASS).when(F.lit(len(columns) < 2), WARNING).when(F.col("identical_rows") > 0, FAIL).otherwise(WARNING)
-    return counted.select("shared_values", "identical_rows", status.alias("status"))
+    return counts.select("shared_values", "identical_rows", status.alias("status"))
 
 
 def summary(issues: DataFrame) -> DataFrame:
@@ -168,7 +210,15 @@ def disagreeing(left: DataFrame, right: DataFrame, on: tuple[str, str], columns:
 
 
 def coverage(decisions: DataFrame, selected: DataFrame) -> DataFrame:
-    """decisions (column_name, sensitivity) not all covered by selected (column_name): column_name and status."""
+    """decisions (column_name, sensitivity, maybe source) that aren't all covered by selected (column_name): column_name
+    and status. What is undecided passes if it is selected, unless its review is pending."""
+    pending = F.col("source") == "history_pending" if "source" in decisions.columns else F.lit(False)
     left = decisions.join(selected.distinct().withColumn("__selected", F.lit(True)), "column_name", "left")
-    status = F.when(F.col("sensitivity") == "error", ERROR).when(F.col("__selected"), PASS).when(F.col("sensitivity") == "not_sensitive", PASS).otherwise(WARNING)
+    status = (
+        F.when(F.col("sensitivity") == "error", ERROR)
+        .when((F.col("sensitivity") == "unknown") & pending, WARNING)
+        .when(F.col("__selected"), PASS)
+        .when(F.col("sensitivity") == "not_sensitive", PASS)
+        .otherwise(WARNING)
+    )
     return left.select("column_name", status.alias("status"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -190,10 +191,18 @@ def seedmap_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("seedmap_fingerprint", seedmap_fingerprint, with_people(f"SELECT id, sha256('{SALT}|fake_email|' || email) AS value_hash FROM people"))
 
 
-def half_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs for the customers with even keys."""
+def half_map(spark: SparkSession, sf_dir: str) -> seedmap.SeedMap:
+    """A seed map with pairs for the customers with even keys, in a folder of its own that all executors share."""
+    at = f"{shared_folder(spark)}/seeds-{uuid.uuid4().hex}"
+    pairs = seedmap.SeedMap(spark, at, SALT)
     even = views.people(spark, sf_dir).where("id % 2 = 0")
-    return even.select(seedmap.value_hash(SALT, "fake_email", F.col("email")).alias("value_hash"), F.concat(F.lit("stored"), "id").alias("masked_value"))
+    pairs.record(even.select(F.col("email").alias("value"), F.concat(F.lit("stored"), "id").alias("masked_value")), "fake_email", "fake_email")
+    return pairs
+
+
+def shared_folder(spark: SparkSession) -> str:
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    return configured.rstrip("/") if configured else f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
 HALF_MAP_SQL = f"SELECT sha256('{SALT}|fake_email|' || email) AS value_hash, 'stored' || CAST(id AS VARCHAR) AS masked_value FROM people WHERE id % 2 = 0"
@@ -202,9 +211,8 @@ HALF_MAP_SQL = f"SELECT sha256('{SALT}|fake_email|' || email) AS value_hash, 'st
 def seedmap_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = views.people(spark, sf_dir).select("id", "email")
     made = strategies.masked(strategies.get_strategy("fake_email"), "email", "string", SEED)
-    stored = half_map(spark, sf_dir).groupBy("value_hash").agg(F.min("masked_value").alias("masked_value"))
-    keyed = people.select("id", made.alias("new"), seedmap.value_hash(SALT, "fake_email", F.col("email")).alias("value_hash"))
-    return keyed.join(stored, "value_hash", "left").select("id", F.coalesce("masked_value", "new").alias("masked"), F.col("masked_value").isNotNull().alias("hit"))
+    found = half_map(spark, sf_dir).lookup(people.select("*", made.alias("new")), "email", "fake_email")
+    return found.select("id", F.coalesce("stored", "new").alias("masked"), F.col("stored").isNotNull().alias("hit"))
 
 
 _EMAIL = strategies.text_sql(DUCK, strategies.get_strategy("fake_email"), "email", KEY)
@@ -220,10 +228,10 @@ add(
 
 
 def seedmap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = half_map(spark, sf_dir).groupBy("value_hash").agg(F.min("masked_value").alias("masked_value"))
+    pairs = half_map(spark, sf_dir)
     made = strategies.masked(strategies.get_strategy("fake_email"), "email", "string", SEED)
-    new = views.people(spark, sf_dir).select(seedmap.value_hash(SALT, "fake_email", F.col("email")).alias("value_hash"), made.alias("masked_value")).distinct()
-    return stored.unionByName(new.join(stored.select("value_hash"), "value_hash", "left_anti"))
+    pairs.record(views.people(spark, sf_dir).select(F.col("email").alias("value"), made.alias("masked_value")), "fake_email", "fake_email")
+    return pairs.pairs().select("value_hash", "masked_value")
 
 
 add(
@@ -237,6 +245,23 @@ add(
 )
 
 
+def seedmap_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table masked for good with the map: stored replacements first, and new ones stored."""
+    pairs, at = half_map(spark, sf_dir), f"{shared_folder(spark)}/masked-{uuid.uuid4().hex}"
+    masking.apply(views.people(spark, sf_dir).select("id", "email"), [masking.ColumnPlan("email", "fake_email")], ["id"], SEED, at, pairs=pairs)
+    return spark.read.parquet(at).withColumnRenamed("email", "masked")
+
+
+add(
+    "seedmap_apply",
+    seedmap_apply,
+    with_people(
+        f"""SELECT id, coalesce(masked_value, {_EMAIL}) AS masked FROM people
+    LEFT JOIN (SELECT value_hash, min(masked_value) AS masked_value FROM ({HALF_MAP_SQL}) GROUP BY value_hash) ON value_hash = sha256('{SALT}|fake_email|' || email)"""
+    ),
+)
+
+
 # Validation: people against a copy with some faults
 
 
@@ -281,9 +306,7 @@ add("validate_test_data_ignored", *aligned_query(["dob_text", "email"], None))
 
 
 def validate_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, target = views.people(spark, sf_dir), faulted(spark, sf_dir, dropped=50)
-    counts = source.agg(F.count("*").alias("source_rows")).crossJoin(target.agg(F.count("*").alias("target_rows")))  # a row each
-    return counts.withColumns({"difference": F.col("target_rows") - F.col("source_rows"), "status": F.when(F.col("target_rows") == F.col("source_rows"), "pass").otherwise("fail")})
+    return validate.counted(views.people(spark, sf_dir), faulted(spark, sf_dir, dropped=50))
 
 
 add(
@@ -295,13 +318,31 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def validate_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = spark.createDataFrame([(t,) for t in TABLES], "table_name string")
-    target = spark.createDataFrame([(t,) for t in [*TABLES[2:], "extra"]], "table_name string")
-    left = source.join(target, "table_name", "left_anti").withColumn("side", F.lit("source"))
-    return left.unionByName(target.join(source, "table_name", "left_anti").withColumn("side", F.lit("target")))
+    """Nations that no customer is of, and market segments that aren't nations, as tables that one side lacks."""
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("table_name"))
+    used = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(F.when(F.col("c_nationkey") < 20, F.col("c_nationkey").cast("string")).otherwise(F.col("c_mktsegment")).alias("table_name"))
+    return validate.unmatched(names, used.distinct())
 
 
-add("validate_presence", validate_presence, "SELECT * FROM (VALUES ('region', 'source'), ('nation', 'source'), ('extra', 'target')) t(table_name, side)")
+add(
+    "validate_presence",
+    validate_presence,
+    """WITH a AS (SELECT CAST(n_nationkey AS VARCHAR) AS table_name FROM nation),
+    b AS (SELECT DISTINCT CASE WHEN c_nationkey < 20 THEN CAST(c_nationkey AS VARCHAR) ELSE c_mktsegment END AS table_name FROM customer WHERE c_custkey % 10 <> 0)
+    SELECT table_name, 'source' AS side FROM a WHERE table_name NOT IN (SELECT table_name FROM b) UNION ALL SELECT table_name, 'target' FROM b WHERE table_name NOT IN (SELECT table_name FROM a)""",
+)
+
+
+def validate_failing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = validate.failing_rows(views.people(spark, sf_dir), faulted(spark, sf_dir, every=100), ["id"], "email")
+    return found.select("place", "redacted", (F.length("row_ref") > 0).alias("referenced"))
+
+
+add(
+    "validate_failing_rows",
+    validate_failing_rows,
+    with_people(f"SELECT (SELECT count(*) FROM people q WHERE q.id <= p.id) AS place, repeat('*', length(email)) AS redacted, TRUE AS referenced FROM people p WHERE id % 100 = 0 AND NOT {predicates.test_data(DUCK, 'email')} ORDER BY id LIMIT 5"),
+)
 
 
 def validate_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,18 +396,23 @@ add(
 )
 
 
+strategies.register_strategy("as_is", strategies.Strategy("as_is", mask=lambda d, v, key: v))  # for the gate to refuse
+
+
 def mask_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = [masking.ColumnPlan("phone", "fake_phone"), masking.ColumnPlan("dob_text", "fake_date"), masking.ColumnPlan("status", "fake_ssn")]
+    plans = [masking.ColumnPlan("phone", "fake_phone"), masking.ColumnPlan("dob_text", "fake_date"), masking.ColumnPlan("status", "fake_ssn"), masking.ColumnPlan("CITY", "as_is"), masking.ColumnPlan("email", "fake_email")]
     return masking.gate(views.people(spark, sf_dir), plans, SEED)
 
 
-add(
-    "mask_gate",
-    mask_gate,
-    with_people(
-        "SELECT * FROM (SELECT 'phone' AS column_name, count(*) AS rows, 0 AS invalid, 0 AS unchanged FROM people UNION ALL SELECT 'dob_text', count(*), count(*) FILTER (dob_text = 'N/A'), 0 FROM people UNION ALL SELECT 'status', count(*), count(*), 0 FROM people)"
-    ),
-)
+def gate_sql() -> str:
+    parts = []
+    for column, strategy, invalid in (("phone", "fake_phone", "FALSE"), ("dob_text", "fake_date", "dob_text = 'N/A'"), ("status", "fake_ssn", "TRUE"), ("city", "as_is", "FALSE"), ("email", "fake_email", "FALSE")):
+        made = strategies.text_sql(DUCK, strategies.get_strategy(strategy), column, KEY)
+        parts.append(f"SELECT '{column}' AS column_name, count(*) AS rows, count(*) FILTER ({invalid}) AS invalid, count(*) FILTER (NOT {invalid} AND trim({column}) <> '' AND lower({column}) = lower({made})) AS unchanged FROM people")
+    return " UNION ALL ".join(parts)
+
+
+add("mask_gate", mask_gate, with_people(gate_sql()))
 
 
 # Decisions, history and reports, on small literal tables
@@ -393,24 +439,38 @@ add(
 )
 add(
     "history_latest",
-    lambda spark, sf_dir: history.latest(_history(spark)),
+    lambda spark, sf_dir: history.latest(_history(spark)).select("column_name", "decision", "review_status", "revision"),
     f"SELECT column_name, decision, review_status, revision FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY CASE review_status WHEN 'approved' THEN 1 ELSE 0 END DESC, seq DESC) AS r FROM {_HISTORY_SQL}) WHERE r = 1",
 )
 
 
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decisions = spark.createDataFrame([("email", "sensitive"), ("status", "not_sensitive"), ("notes", "unknown"), ("phone", "sensitive"), ("blob", "error")], "column_name string, sensitivity string")
-    return validate.coverage(decisions, spark.createDataFrame([("email",)], "column_name string"))
+    """A decision for each customer's reference by its key, of which those with keys divisible by 3 are selected."""
+    kind = F.when(F.col("id") % 7 == 0, "error").when(F.col("id") % 5 == 0, "unknown").when(F.col("id") % 2 == 0, "not_sensitive").otherwise("sensitive")
+    source = F.when(F.col("id") % 11 == 0, "history_pending").otherwise("pattern")
+    people = views.people(spark, sf_dir)
+    decisions = people.select(F.col("customer_ref").alias("column_name"), kind.alias("sensitivity"), source.alias("source"))
+    return validate.coverage(decisions, people.where("id % 3 = 0").select(F.col("customer_ref").alias("column_name")))
 
 
-add("coverage_report", coverage_report, "SELECT * FROM (VALUES ('email', 'pass'), ('status', 'pass'), ('notes', 'warning'), ('phone', 'warning'), ('blob', 'error')) t(column_name, status)")
+add(
+    "coverage_report",
+    coverage_report,
+    with_people(
+        """SELECT customer_ref AS column_name, CASE WHEN id % 7 = 0 THEN 'error' WHEN id % 5 = 0 AND id % 11 = 0 THEN 'warning' WHEN id % 3 = 0 THEN 'pass'
+    WHEN id % 5 <> 0 AND id % 2 = 0 THEN 'pass' ELSE 'warning' END AS status FROM people"""
+    ),
+)
 
 
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.summary(spark.createDataFrame([(s,) for s in ("pass", "pass", "warning", "skipped")], "status string"))
+    """Of the statuses that the aligned check gives to some copies."""
+    found = [aligned_query(["email", "status"], None, every=100)[0], aligned_query(["email"], 500)[0], aligned_query(["email"], None)[0]]
+    statuses = [q(spark, sf_dir).select("status") for q in found]
+    return validate.summary(statuses[0].unionByName(statuses[1]).unionByName(statuses[2]))
 
 
-add("validation_summary", validation_summary, "SELECT 2 AS n_pass, 0 AS n_fail, 1 AS n_warning, 1 AS n_skipped, 0 AS n_error, TRUE AS passed, FALSE AS passed_strict")
+add("validation_summary", validation_summary, "SELECT 1 AS n_pass, 2 AS n_fail, 1 AS n_warning, 0 AS n_skipped, 0 AS n_error, FALSE AS passed, FALSE AS passed_strict")
 
 
 def scan_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,8 +478,20 @@ def scan_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("scan_tables", scan_tables)
-add("schema_elements", lambda spark, sf_dir: catalog.Catalog(spark, sf_dir).elements())
+add(
+    "schema_elements",
+    lambda spark, sf_dir: catalog.Catalog(spark, sf_dir).elements().where(F.col("table_name").isin(TABLES)).select("table_name", "column_name", "is_key", "is_generated"),
+    f"SELECT table_name, column_name, FALSE AS is_key, FALSE AS is_generated FROM information_schema.columns WHERE table_name IN ({', '.join(repr(t) for t in TABLES)})",
+)
 add("table_fingerprint", lambda spark, sf_dir: masking.fingerprint(views.people(spark, sf_dir)))
+add(
+    "table_version_fingerprint",
+    lambda spark, sf_dir: masking.version_fingerprint(views.people(spark, sf_dir).select("id", "email", "phone"), ["id"], 1000),
+    with_people(
+        """SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(sha256(CAST(place AS VARCHAR) || ':' || sha256('{"id":' || id || ',"email":"' || email || '","phone":' || coalesce('"' || phone || '"', 'null') || '}')), 1, 15) AS BIGINT)) AS VARCHAR) AS digest
+    FROM (SELECT *, row_number() OVER (ORDER BY id) AS place FROM people) WHERE place <= 1000"""
+    ),
+)
 add(
     "table_row_counts",
     lambda spark, sf_dir: catalog.Catalog(spark, sf_dir).row_counts(TABLES),
