@@ -209,6 +209,22 @@ def test_faults_are_found_where_they_are(people):
     assert validate.failing_rows(people, people, ["id"], "email").count() == 5
 
 
+def test_faults_between_tables_are_found(spark, sf, tmp_path):
+    """Two tables masked for good agree on what they share; a changed address, a lost parent and a wrong total don't pass."""
+    people, orders = views.people(spark, sf).select("id", "email"), views.people_orders(spark, sf)
+    mask.apply(people, [ColumnPlan("email", "fake_email")], ["id"], "s", str(tmp_path / "people"))
+    mask.apply(orders, [ColumnPlan("contact_email", "fake_email")], ["tenant_id", "order_id"], "s", str(tmp_path / "orders"))
+    a, b = spark.read.parquet(str(tmp_path / "people")), spark.read.parquet(str(tmp_path / "orders"))
+    apart = lambda x, y: validate.disagreeing(y, x, ("customer_id", "id"), ("contact_email", "email")).count()
+    assert apart(a, b) == 0 and validate.orphans(b, a, "customer_id", "id").isEmpty()
+    one = b.select("customer_id").first()[0]
+    n = b.where(F.col("customer_id") == one).count()
+    assert apart(a.withColumn("email", F.when(F.col("id") == one, "x@example.test").otherwise(F.col("email"))), b) == n
+    assert validate.orphans(b, a.where(F.col("id") != one), "customer_id", "id").count() == n
+    wrong = lambda df: df.where("total <> quantity * unit_price").count()
+    assert wrong(b) == 0 and wrong(b.withColumn("total", F.when(F.col("customer_id") == one, F.col("total") + 1).otherwise(F.col("total")))) == n
+
+
 def test_gate_refuses_without_values(people, tmp_path, spark):
     bad = [ColumnPlan("status", "fake_phone")]
     with pytest.raises(MaskError) as e:
