@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that `[\x20\x09-\x0D]` matches; bytes.split() without arguments splits at exactly these.
-CHUNK = 1 << 22
+CHUNK = 1 << 22  # bytes of a part of a very long text
+BATCH_BYTES = 8 << 20  # of a batch that Python handles at once
+#: What `[\x20\x09-\x0D]` matches; bytes.split() without arguments splits at exactly these.
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (single-machine tests), a local one."""
+    """The folder all executors share: spark.checkpoint.dir, or on a single machine (tests) a local one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    if configured:
+        return configured
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -47,8 +56,10 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send whole texts to Python in small batches, whatever the session's default of rows that may be short."""
+    """Send texts to Python in batches of bounded rows and bytes, from the JVM's side on. Spark reads these settings of
+    the session when a plan runs, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def as_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,15 +73,48 @@ def crc_mod(id_col: str, m: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % m
 
 
-def split_at_space(data: bytes, size: int = CHUNK) -> Iterator[bytes]:
-    """Parts of about `size` bytes, cut only at a space (0x20), so that a very long text never becomes one list of words."""
-    start = 0
+def split_at_space(data: bytes, size: int | None = None) -> Iterator[bytes]:
+    """Parts of about `size` bytes (default CHUNK), cut only at ASCII white space, so that a very long text never becomes
+    one list of words. What has no white space stays in one part."""
+    size, start = size or CHUNK, 0
     while len(data) - start > size:
-        end = data.rfind(b" ", start, start + size)
+        end = max(data.rfind(c, start, start + size) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f"))
         if end < 0:
-            end = data.find(b" ", start + size)
-        if end < 0:
-            break
+            found = WHITE.search(data, start + size)
+            if not found:
+                break
+            end = found.start()
         yield data[start:end]
         start = end + 1
     yield data[start:] if start else data
+
+
+def bounded(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches, those over `size` bytes (default BATCH_BYTES) in slices of about that size."""
+    size = size or BATCH_BYTES
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(batch.nbytes, 1))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
+def give_back() -> None:
+    """Return free memory to the system, as Spark keeps Python workers for later tasks of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        return
+
+
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with batches of bounded size, after which a worker gives back its memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(bounded(batches))
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
