@@ -55,7 +55,7 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 
 def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; of fewer words all as one; of none, none."""
+    """Sorted hashes, even, of the distinct shingles; of fewer words all as one; of none, none."""
     words = word_hashes(text or b"")
     if not len(words):
         return words
@@ -64,4 +64,4 @@ def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
     out = np.full(n, width, dtype=np.uint64)
     for k in range(width):
         out = mix(out * np.uint64(ROOT) + words[k : k + n])
-    return np.unique(out)
+    return np.unique(out & ~np.uint64(1))

@@ -42,10 +42,12 @@ def test_edge_cases(docs, empty):
     assert J.components(empty).count() == 0
 
 
-@pytest.mark.parametrize("frequent", [J.FREQUENT, 3])
-def test_equals_brute_force(spark, monkeypatch, frequent):
-    """Groups of near copies and shared passages; with a low threshold nearly everything is frequent."""
-    monkeypatch.setattr(J, "FREQUENT", frequent)
+@pytest.mark.parametrize(("frequent", "very", "long"), [(J.FREQUENT, J.VERY_FREQUENT, J.LONG), (3, 1000, 1000), (3, 6, 1000), (1000, 8, 2)])
+def test_equals_brute_force(spark, monkeypatch, frequent, very, long):
+    """Groups of near copies and shared passages; with low thresholds nearly everything is frequent, or very frequent, or
+    becomes so once its list is long."""
+    for name, value in {"FREQUENT": frequent, "VERY_FREQUENT": very, "LONG": long}.items():
+        monkeypatch.setattr(J, name, value)
     rng = random.Random(5)
     vocabulary = [f"w{k}" for k in range(300)]
     passage = rng.choices(vocabulary, k=30)
@@ -69,13 +71,15 @@ def test_signatures_are_shared_by_linked_sets():
     classes = J.size_classes(80)
     for n in [4, 5, 9, 10, 23, 60, 200, 999]:
         for _ in range(20):
-            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            a = np.unique(rng.integers(0, 2**62, n, dtype=np.uint64) * np.uint64(2))
             lost = J.slack(len(a), 80)
             b = np.sort(rng.permutation(a)[: len(a) - lost])
-            for frequent in (np.zeros(0, dtype=np.uint64), a, a[::2].copy()):
-                rank = rng.permutation(len(frequent))
-                x, y = (J.signatures(s, frequent, rank, 80, classes) for s in (a, b))
-                assert np.intersect1d(x, y).size
+            for tokens in (np.zeros(0, dtype=np.uint64), a, a[::2].copy()):
+                for most in (100, 5000, 10_000):
+                    frequent = J.Frequent.of(tokens, rng.integers(24, most, len(tokens)))
+                    (x, nx), (y, ny) = (J.signatures(s, frequent, 80, classes) for s in (a, b))
+                    assert np.intersect1d(x, y).size
+                    assert (nx, ny) == tuple(np.isin(s, tokens).sum() for s in (a, b))
 
 
 def test_sketches_never_rule_out_a_link():
@@ -84,6 +88,8 @@ def test_sketches_never_rule_out_a_link():
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
         b = a[: len(a) - J.slack(len(a), 80)]
         assert J.may_link(J.sketch(a), J.sketch(b), len(a) + len(b), 80)
+        apart = sum(int(x).bit_count() for x in (J.parities(a) ^ J.parities(b)).view(np.uint64))
+        assert 180 * apart <= 20 * (len(a) + len(b)) and apart <= len(a) - len(b)
     assert not J.may_link(J.sketch(a), J.sketch(np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))), 2 * n, 80) or n > 20_000
 
 
@@ -118,3 +124,24 @@ def test_keep_one_with_null_and_repeated_ids(spark):
     assert len(linked) == 1 and linked[0] in rows
     expected = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (8, texts[3]), (8, texts[4]), (10, texts[6]), (None, None), (8, "")]
     assert sorted(map(repr, set(kept) - set(linked))) == sorted(map(repr, expected)) and len(kept) == len(expected) + 1
+
+
+def test_joins_of_large_groups_stay_linear(spark, monkeypatch):
+    """A group of near copies and a passage in many otherwise different documents: what is left to compare after the
+    leaders follows the documents, not the pairs within a list; the components are those of the brute force."""
+    rng = random.Random(7)
+    word = lambda: f"v{rng.randrange(5000)}"
+    base, passage, rows = [word() for _ in range(200)], [word() for _ in range(40)], []
+    for edits in [0] + [rng.choice([1, 2, 3, 4, 8, 12]) for _ in range(299)]:
+        copy = list(base)
+        for k in rng.sample(range(200), edits):
+            copy[k] = word()
+        rows.append((len(rows), " ".join(copy)))
+    for _ in range(300):
+        rows.append((len(rows), " ".join([word() for _ in range(60)] + passage + [word() for _ in range(60)])))
+    compared = []
+    linked = J.linked
+    monkeypatch.setattr(J, "linked", lambda docs, pairs, *rest: compared.append(pairs.count()) or linked(docs, pairs, *rest))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df) == brute_force(rows)
+    assert compared[0] <= 10 * len(rows) and compared[1] <= 10 * len(rows)
