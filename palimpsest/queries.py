@@ -415,32 +415,31 @@ def gate_sql() -> str:
 add("mask_gate", mask_gate, with_people(gate_sql()))
 
 
-# Decisions, history and reports, on small literal tables
+# Decisions, history and reports
 
-_HISTORY = [
-    ("email", "mask", "approved", "string", 1, 0),
-    ("email", "keep", "pending", "string", 2, 1),
-    ("phone", "mask", "pending", "string", 1, 2),
-    ("ssn", "mask", "approved", "bigint", 3, 3),
-    ("city", "keep", "approved", "string", 1, 4),
-]
+_HISTORY = """SELECT concat('c', CAST(id % 200 AS STRING)) AS column_name, CASE id % 3 WHEN 0 THEN 'keep' ELSE 'mask' END AS decision,
+  CASE WHEN id % 7 < 2 THEN 'approved' ELSE 'pending' END AS review_status, CASE WHEN id % 5 = 0 THEN 'bigint' ELSE 'string' END AS data_type,
+  CAST(id % 11 AS INT) AS revision, id AS seq FROM people"""
+_COLUMNS = "SELECT concat('c', CAST(id AS STRING)) AS column_name, CASE WHEN id % 9 = 0 THEN 'BIGINT' ELSE 'string' END AS data_type FROM people WHERE id <= 220"
 
 
-def _history(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_HISTORY, "column_name string, decision string, review_status string, data_type string, revision int, seq int")
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some records for each of 200 columns, made from the customers."""
+    return spark.sql(_HISTORY.replace("FROM people", "FROM {people}"), people=views.people(spark, sf_dir))
 
 
-_HISTORY_SQL = "(VALUES " + ", ".join(repr(r) for r in _HISTORY) + ") h(column_name, decision, review_status, data_type, revision, seq)"
 add(
     "history_reuse",
-    lambda spark, sf_dir: history.reuse(spark.createDataFrame([(c, "string") for c in TEXT_COLUMNS], "column_name string, data_type string"), _history(spark)),
-    f"""SELECT c.column_name, CASE WHEN h.column_name IS NULL THEN 'none' WHEN h.data_type <> 'string' THEN 'pending' ELSE 'reuse' END AS outcome, CASE WHEN h.data_type = 'string' THEN h.decision END AS decision
-    FROM (SELECT unnest({TEXT_COLUMNS!r}) AS column_name) c LEFT JOIN (SELECT * FROM {_HISTORY_SQL} WHERE review_status = 'approved') h USING (column_name)""",
+    lambda spark, sf_dir: history.reuse(spark.sql(_COLUMNS.replace("FROM people", "FROM {people}"), people=views.people(spark, sf_dir)), _history(spark, sf_dir)),
+    with_people(
+        f"""SELECT c.column_name, CASE WHEN h.column_name IS NULL THEN 'none' WHEN h.data_type <> lower(c.data_type) THEN 'pending' ELSE 'reuse' END AS outcome, CASE WHEN h.data_type = lower(c.data_type) THEN h.decision END AS decision
+    FROM ({_COLUMNS}) c LEFT JOIN (SELECT * FROM ({_HISTORY}) WHERE review_status = 'approved' QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY seq DESC) = 1) h USING (column_name)"""
+    ),
 )
 add(
     "history_latest",
-    lambda spark, sf_dir: history.latest(_history(spark)).select("column_name", "decision", "review_status", "revision"),
-    f"SELECT column_name, decision, review_status, revision FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY CASE review_status WHEN 'approved' THEN 1 ELSE 0 END DESC, seq DESC) AS r FROM {_HISTORY_SQL}) WHERE r = 1",
+    lambda spark, sf_dir: history.latest(_history(spark, sf_dir)).select("column_name", "decision", "review_status", "revision"),
+    with_people(f"SELECT column_name, decision, review_status, revision FROM ({_HISTORY}) QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY CASE review_status WHEN 'approved' THEN 1 ELSE 0 END DESC, seq DESC) = 1"),
 )
 
 
