@@ -132,6 +132,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 3 if report.errors else 0
     source = _catalog(spark, config, config.source)
     if args.command == "mask":
+        if (args.resume or args.resumable) and (not args.apply or args.remask_reason is not None or args.resume and args.resumable):
+            print("--resumable and --resume go with --apply, and neither with the other nor with --remask-reason", file=sys.stderr)
+            return 2
         if args.apply:
             if not args.run_file:
                 print("--apply needs the run file of an approved plan", file=sys.stderr)
@@ -149,10 +152,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for t in source.tables():
             plans = decide.plan_table(report.found, t, config.masking)
             if plans:
-                result = masking.dry_run(source.table(t), plans, source.keys(t), config.masking.seed, read_only=source.read_only(t), pairs=pairs)
+                result = masking.dry_run(source.table(t), plans, source.keys(t), config.masking.seed, read_only=source.read_only(t), pairs=pairs, show_values=args.show_values)
                 print(t, result.rows, "would be masked:", ",".join(result.columns) or "-")
-                for row in result.preview:  # originals as asterisks
-                    print(" ", {c: f"{before} -> {after if args.show_values else '(hidden)'}" for c, (before, after) in row.items()})
+                for row in result.preview:
+                    print("  before:", {c: before for c, (before, _) in row.items()}, "after:", {c: after for c, (_, after) in row.items()})
+                if result.skipped_columns:
+                    print(f"warning: {t} keeps its key columns {', '.join(result.skipped_columns)}", file=sys.stderr)
+        if unknown := [f"{d.table}.{d.column}" for d in report.found if d.sensitivity == decide.UNKNOWN]:
+            print(f"warning: {len(unknown)} undecided columns stay as they are: {', '.join(unknown)}", file=sys.stderr)
         return 0
     target = _catalog(spark, config, config.target)
     if args.run_file:

@@ -164,15 +164,16 @@ def remember(df: DataFrame, plans: list[ColumnPlan], seed: str, pairs: seedmap.S
     return total
 
 
-def dry_run(df: DataFrame, plans: list[ColumnPlan], keys: list[str], seed: str, preview: int = 10, read_only: dict[str, str] | None = None, pairs: seedmap.SeedMap | None = None) -> MaskResult:
-    """What applying would do, with a few rows, each as it is (letters and digits hidden) and masked. Nothing is written,
-    to the seed map neither, but its pairs are used."""
+def dry_run(df: DataFrame, plans: list[ColumnPlan], keys: list[str], seed: str, preview: int = 10, read_only: dict[str, str] | None = None, pairs: seedmap.SeedMap | None = None, show_values: bool = False) -> MaskResult:
+    """What applying would do, with a few rows, each before (letters and digits as asterisks, unless show_values) and
+    after. Nothing is written, to the seed map neither, but its pairs are used."""
     todo, skipped = preflight(df, plans, keys, read_only)
     rows = check_gate(df, todo, seed, pairs)
     shown = []
     if todo and preview:
         both, names = _with_replacements(df, todo, seed, pairs)
-        before = [F.expr(get_strategy("redact").mask(SPARK, f"CAST({quote(p.column)} AS STRING)", "")).alias(f"b{k}") for k, p in enumerate(todo)]
+        texts = [f"CAST({quote(p.column)} AS STRING)" for p in todo]
+        before = [F.expr(t if show_values else get_strategy("redact").mask(SPARK, t, "")).alias(f"b{k}") for k, t in enumerate(texts)]
         for r in both.limit(preview).select(*before, *[F.col(n).alias(f"a{k}") for k, n in enumerate(names)]).collect():
             shown.append({p.column: (r[f"b{k}"], r[f"a{k}"]) for k, p in enumerate(todo)})
     return MaskResult(rows, [p.column for p in todo], skipped, shown)

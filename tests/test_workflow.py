@@ -544,7 +544,9 @@ def test_config_and_cli(spark, folder, tmp_path, monkeypatch, capsys):
     assert run("approve", plan, "--reviewer", "me") == 0
     assert run("mask") == 0
     shown = capsys.readouterr().out
-    assert "(hidden)" in shown and "@example.test" not in shown
+    assert "'email': '" in shown and "source" not in shown and "*" in shown and "after:" in shown
+    assert run("mask", "--show-values") == 0 and "source" in capsys.readouterr().out
+    assert run("mask", "--resume") == 2 and run("mask", "--apply", "--run-file", plan, "--resume", "--remask-reason", "x") == 2
     assert run("mask", "--apply", "--resumable", "--run-file", plan) == 0 and run("seeds") == 0 and "fake_email" in capsys.readouterr().out
     with pytest.raises(runs.RunError):
         run("mask", "--apply", "--run-file", plan)
