@@ -9,13 +9,18 @@ The classifier is fitted on a bounded sample of labelled rows: about `sample_row
 of the id, of at most `sample_bytes` bytes each and weighted back to the labels' true shares, and the `max_words` words
 that most of them have. Everything is scored, whole.
 
+Every n-gram of every word counts, in training and scoring, however long the word is.
+
 Defined cases: null texts and texts without words get the softmax's bias, the share of toxic texts that training found;
 labels of null are ignored, the larger label counts where an id is labelled twice; without labelled rows the score is 0;
-repeated rows get their own results; other columns are ignored.
+repeated rows get their own results; of words that equally many texts have those met first in training are kept; very long
+texts are read in parts cut at white space, and very long words in blocks; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from array import array
@@ -27,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, split_at_space
+from palimpsest.llm.common import bounded_batches, map_batches, split_at_space
 
 WORD = re.compile(r"[^\W\d_]+")
-SHORTEST, LONGEST, LONGEST_WORD, REMEMBERED = 3, 5, 40, 250_000
+SHORTEST, LONGEST, LONGEST_REMEMBERED, REMEMBERED, BLOCK = 3, 5, 64, 150_000, 1 << 16
 EMPTY = 20  # words of vector 0 that each text has besides, so that a few odd words don't decide on a short one
 
 
@@ -39,11 +44,13 @@ def words(text: bytes) -> Iterator[list[str]]:
         yield WORD.findall(part.decode().lower())
 
 
-def subwords(word: str, buckets: int) -> list[int]:
+def subwords(word: str, buckets: int) -> Iterator[int]:
     """Buckets of the word itself and of its n-grams."""
-    marked = f"<{word[:LONGEST_WORD]}>"
-    pieces = [marked, *(marked[k : k + n] for n in range(SHORTEST, LONGEST + 1) for k in range(len(marked) - n + 1))]
-    return [zlib.crc32(p.encode()) % buckets for p in pieces]
+    marked = f"<{word}>"
+    yield zlib.crc32(marked.encode()) % buckets
+    for n in range(SHORTEST, LONGEST + 1):
+        for k in range(len(marked) - n + 1):
+            yield zlib.crc32(marked[k : k + n].encode()) % buckets
 
 
 class Rows:
@@ -85,7 +92,11 @@ class Model:
 
     def word_logit(self, word: str) -> float:
         """The share of a word's vector in the log odds; linear, so a text's log odds are a mean of its words'."""
-        return float(self.slopes[subwords(word, len(self.slopes))].mean())
+        total, n, each = 0.0, 0, subwords(word, len(self.slopes))
+        while some := list(itertools.islice(each, BLOCK)):
+            total += float(self.slopes[some].sum(dtype=np.float64))
+            n += len(some)
+        return total / n
 
 
 class Bags:
@@ -122,7 +133,7 @@ def train(bags: Bags, labels: np.ndarray, weights: np.ndarray, buckets: int = 1
     linear = rng.normal(0, 0.1, (width, 2)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
     common, text_rows = bags.most_common(max_words)
-    ids = [subwords(w, buckets) for w in common]
+    ids = [list(subwords(w, buckets)) for w in common]
     sizes = np.array([len(x) for x in ids], dtype=np.int64)
     word_rows = Rows(np.repeat(np.arange(len(ids)), sizes), np.array([i for x in ids for i in x], dtype=np.int64), np.repeat(1 / np.maximum(sizes, 1), sizes), (len(ids), buckets))
     del ids
@@ -154,7 +165,8 @@ class Scorer(dict):
         out = self.model.word_logit(word)
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = out
+        if len(word) <= LONGEST_REMEMBERED:
+            self[word] = out
         return out
 
     def score(self, text: bytes | None) -> float:
@@ -201,4 +213,4 @@ def scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
             found = [scorer.score(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
-    return source.mapInArrow(score, source.select("doc_id", F.lit(0.0).alias("score")).schema)
+    return map_batches(source, score, source.select("doc_id", F.lit(0.0).alias("score")).schema)
