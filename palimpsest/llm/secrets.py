@@ -10,7 +10,8 @@ up their characters. Spans count code points, ends exclusive.
 
 Defined cases: null and empty texts have no spans; a text of any length is scanned whole; rows of the same id and text
 share their spans; rows of the same id and another text have their own; null ids are a value like any other; an empty
-table gives no rows; other columns are ignored by find_secrets() and kept by redact().
+table gives no rows; other columns are ignored by find_secrets() and kept by redact(), whatever their names. Of matches of
+two kinds at one place both are spans, and redact() puts one mark for a run of them.
 """
 
 from __future__ import annotations
@@ -233,10 +234,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
     fresh = spans.withColumn("__new", (F.col("start") >= F.coalesce(reached, F.lit(0))).cast("int"))
     runs = fresh.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*KEY, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     by_text = runs.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__runs"))
-    source = docs.select("*", F.struct(F.col(f"`{id_col}`").alias("i"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("h")).alias("__key"))
-    same = F.col("a.__key.i").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__key.h") == F.col("b.__text_hash"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    source = docs.select(row, F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("h"))
+    same = F.col("a.id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.__text_hash"))
     joined = source.alias("a").join(by_text.alias("b"), same, "left")
-    text, runs_col = F.col(f"a.`{text_col}`"), F.col("b.__runs")
+    text, runs_col = F.col(f"a.row.`{text_col}`"), F.col("b.__runs")
     kept = F.transform(
         F.sequence(F.lit(0), F.size(runs_col)),
         lambda k: F.substring(
@@ -246,4 +248,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
         ),
     )
     clean = F.when(runs_col.isNull(), text).otherwise(F.array_join(kept, mark))
-    return joined.select(*[clean.alias(c) if c == text_col else F.col(f"a.`{c}`") for c in docs.columns])
+    return joined.select(*[clean.alias(c) if c == text_col else F.col(f"a.row.`{c}`").alias(c) for c in docs.columns])

@@ -33,6 +33,12 @@ def test_redaction(spark, docs):
     assert S.redact(docs).columns == docs.columns and S.redact(docs).count() == docs.count()
 
 
+def test_redaction_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh", "k", "h")], "doc_id long, text string, __key string, __text_hash string").selectExpr("*", "'r' AS row", "1 AS start", "2 AS end", "'i' AS id", "'x' AS h")
+    out = S.redact(df)
+    assert out.columns == df.columns and tuple(out.first()) == (1, "[SECRET]", "k", "h", "r", 1, 2, "i", "x")
+
+
 def test_queries_of_patterns():
     assert S.trigram_query("[0-9a-f]+") == S.ANYTHING
     assert S.trigram_query("AKIA[A-Z0-9]+") == frozenset({frozenset({"aki", "kia"})})
