@@ -9,7 +9,7 @@ the frame of its first peak, and frequency, second frequency and frames between
 
 Defined cases: null and empty texts are 64 bytes 0 and have no peak; very long payloads are transformed in blocks of
 frames, so that memory stays bounded; ties between equally loud bins go to the lower frequency; equal texts have equal
-results; an empty table gives no rows; other columns are ignored.
+results, and repeated rows each have theirs; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import as_bytes
+from palimpsest.llm.common import as_bytes, map_batches
 
 RATE, FRAME, HOP, PEAKS, FAN, AHEAD = 8000, 256, 128, 3, 2, 8
 BLOCK = 4096  # frames transformed at once
@@ -131,7 +131,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 )
 
     source = as_bytes(docs, id_col, text_col)
-    return source.mapInArrow(convert, SCHEMA.replace("doc_id long", f"doc_id {source.schema['doc_id'].dataType.simpleString()}"))
+    return map_batches(source, convert, SCHEMA.replace("doc_id long", f"doc_id {source.schema['doc_id'].dataType.simpleString()}"))
 
 
 def media_digests(media: DataFrame) -> DataFrame:
@@ -151,7 +151,8 @@ def media_digests(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(kept | {k: pa.array(v, pa.int64() if isinstance(v[0], int) else pa.string()) if v else pa.array(v, pa.int64() if k.endswith(("bytes", "32")) else pa.string()) for k, v in columns.items()})
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.mapInArrow(
+    return map_batches(
+        media,
         digest,
         f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )

@@ -35,3 +35,41 @@ def test_a_tone_gives_its_frequency():
     tone = (128 + 100 * np.sin(2 * np.pi * 32 / M.FRAME * t)).astype(np.uint8).tobytes()
     _, f = M.peaks(tone)
     assert 32 in f and (M.fingerprint(tone)[0][1:] >= M.fingerprint(tone)[0][:-1]).all()
+
+
+def plain_fingerprint(payload):
+    """Frame by frame, bin by bin, with sums instead of the fast transform."""
+    samples = np.frombuffer(payload, dtype=np.uint8).astype(np.float64) - 128
+    n = max(1, -(-(len(samples) - M.FRAME) // M.HOP) + 1)
+    samples = np.concatenate([samples, np.zeros(n * M.HOP + M.FRAME)])
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(M.FRAME) / M.FRAME)
+    waves = np.exp(-2j * np.pi * np.outer(np.arange(M.FRAME), np.arange(M.FRAME // 2 + 1)) / M.FRAME)
+    loud = [np.abs((samples[k * M.HOP : k * M.HOP + M.FRAME] * window) @ waves) for k in range(n)]
+    nothing = np.zeros(M.FRAME // 2 + 1)
+    found = []
+    for k in range(n):
+        before, after = loud[k - 1] if k else nothing, loud[k + 1] if k + 1 < n else nothing
+        own = [(-loud[k][f], f) for f in range(1, M.FRAME // 2) if loud[k][f] > loud[k][f - 1] and loud[k][f] >= loud[k][f + 1] and loud[k][f] >= before[f] and loud[k][f] >= after[f] and loud[k][f] > 1e-3]
+        found += sorted((k, f) for _, f in sorted(own)[: M.PEAKS])
+    pairs = []
+    for i, (t, f) in enumerate(found):
+        later = [(u, g) for u, g in found[i + 1 :] if u > t][: M.FAN]
+        pairs += [(t, f << 16 | g << 8 | u - t) for u, g in later if u - t <= M.AHEAD]
+    return sorted(pairs)
+
+
+def test_fingerprint_equals_a_plain_one():
+    rng = np.random.default_rng(5)
+    noise = bytes(rng.integers(32, 127, 9000, dtype=np.uint8))
+    for text in (b"", b"short", b"The same words again. " * 40, noise, "Ünï çødé 中文 ".encode() * 30):
+        times, codes = M.fingerprint(M.padded(text))
+        assert list(zip(times.tolist(), codes.tolist(), strict=True)) == plain_fingerprint(M.padded(text))
+    assert len(M.fingerprint(M.padded(noise))[0]) > 100
+
+
+def test_feature_of_the_stored_form(docs):
+    """The digest is of the plain fingerprint of the bytes that are read back."""
+    for r in M.media_digests(M.media_columns(docs.where("doc_id IN (1, 5, 10)"))).join(docs.select("doc_id", "text"), "doc_id").collect():
+        pairs = plain_fingerprint(M.padded((r["text"] or "").encode()))
+        packed = np.array(pairs, dtype="<i4").reshape(-1, 2).tobytes()
+        assert r["feature"] == f"{len(pairs)}:{hashlib.sha256(packed).hexdigest()}"
