@@ -9,7 +9,8 @@ them, or to the first one if there is none. So a document's sections always add
 
 Defined cases: null and empty fields have no sections; a document without any section gives no rows; a very long text is
 encoded in parts that end where the tokenizer's pattern ends a piece anyway (before a single space between two
-letters), so that its tokens are the same; repeated rows each give their rows; other columns are ignored.
+letters), so that its tokens are the same; of sections with equally many of a token's bytes the first gets it; repeated
+rows each give their rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches
+from palimpsest.llm.common import bounded_batches, map_batches
 
 RULES = ("first", "last", "most")
 PART = 1 << 20
@@ -138,4 +139,4 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str, fields: tuple[str, .
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"f{k}") for k, c in enumerate(fields)])
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(count, f"doc_id {kind}, field string, section long, start long, end long, n_tokens long, n_crossing long")
+    return map_batches(source, count, f"doc_id {kind}, field string, section long, start long, end long, n_tokens long, n_crossing long")

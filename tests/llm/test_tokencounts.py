@@ -41,3 +41,33 @@ def test_long_texts_have_the_same_tokens(ranks, monkeypatch):
     whole = encoder.token_ends(text)
     monkeypatch.setattr(T, "PART", 500)
     assert np.array_equal(whole, encoder.token_ends(text))
+
+
+@pytest.mark.parametrize("rule", T.RULES)
+def test_attribution_byte_by_byte(spark, ranks, rule):
+    """Sections against a loop over the bytes of each token, with text of several bytes a character."""
+    texts = [(1, "one\n\n\ntwo three\n"), (2, "Ünï\n中文 text\nlast 漢字漢字\n\n"), (3, "\n\n\n\n"), (4, "no line feed"), (5, None), (6, ""), (7, "a\n" * 50 + "🙂🙂\n")]
+    df = spark.createDataFrame([(k, t, f"Title {k}\n\n" if k % 2 else None) for k, t in texts], "doc_id long, text string, title string")
+    found = T.count_tokens(df, ranks, public_tokenizers.PATTERN, fields=("title", "text"), rule=rule).collect()
+    encoding, expected = T.encoder(ranks, public_tokenizers.PATTERN).encoding, []
+    for r in df.collect():
+        present = [(f, r[f]) for f in ("title", "text") if r[f]]
+        owner, names = [], []  # of each byte its section
+        for k, (field, value) in enumerate(present):
+            at = 0
+            for number, line in enumerate(value.splitlines(keepends=True)):
+                names.append((field, number, at, at + len(line)))
+                owner += [len(names) - 1] * len(line.encode())
+                at += len(line)
+            if k + 1 < len(present):
+                owner.append(len(names) - 1)
+        counts, crossing, at = [0] * len(names), [0] * len(names), 0
+        for token in encoding.encode_ordinary("\n".join(v for _, v in present)):
+            own = owner[at : at + len(encoding.decode_single_token_bytes(token))]
+            at += len(own)
+            best = max(set(own), key=lambda x: (own.count(x), -x))
+            k = {"first": own[0], "last": own[-1], "most": best}[rule]
+            counts[k] += 1
+            crossing[k] += own[0] != own[-1]
+        expected += [(r["doc_id"], *n, c, x) for n, c, x in zip(names, counts, crossing, strict=True)]
+    assert sorted(map(tuple, found)) == sorted(expected) and any(x[-1] for x in expected)
