@@ -3,9 +3,10 @@
 A document's ids are those of its text followed by one end id. Only documents longer than a sequence are cut, into
 pieces of a whole sequence and a rest. A piece of `capacity` ids fills a sequence by itself. The others are dealt by
 hash into groups of about `group_rows`, and in each group every piece goes where the sum over gaps of the squared number
-of open bins with that gap becomes smallest (a new bin counts as one more of its gap). The bins that a round leaves
-open are then items of the next round, in fewer groups, until one group holds them all or a round closes none. So no
-task holds more than a group, and the last rounds see only what is left open.
+of open bins with that gap becomes smallest (a new bin counts as one more of its gap; of equal sums the fullest bin is taken).
+The bins that a round leaves open are then items of the next round, in fewer groups, until one group holds them all or a
+round leaves over 99 of 100 as they were. So no task holds more than a group, and the last rounds see only what is left
+open.
 
 Tokens: words repeat, and the tokenizer treats what ASCII white space separates by itself, so the ids of each such chunk
 are remembered in a bounded table.
@@ -28,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import as_bytes, cut, split_at_space
+from palimpsest.llm.common import as_bytes, cut, map_batches, split_at_space
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-REMEMBERED = 250_000
+REMEMBERED, REMEMBERED_BYTES, LONGEST_REMEMBERED = 150_000, 16 << 20, 256
 
 
 class ChunkEncoder(dict):
@@ -44,7 +45,7 @@ class ChunkEncoder(dict):
     def __init__(self, path: str, remembered: int = REMEMBERED):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.path, self.remembered = path, remembered
+        self.path, self.remembered, self.held = path, remembered, 0
         self.fast = byte_pair_encoder(path)
 
     @functools.cached_property
@@ -58,9 +59,12 @@ class ChunkEncoder(dict):
         out = self.fast(chunk) if self.fast else None
         if out is None:
             out = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= self.remembered:
-            self.clear()
-        self[chunk] = out
+        if len(chunk) <= LONGEST_REMEMBERED:
+            if len(self) >= self.remembered or self.held > REMEMBERED_BYTES:
+                self.clear()
+                self.held = 0
+            self[chunk] = out
+            self.held += len(chunk) + len(out)
         return out
 
     def ids(self, text: bytes) -> bytes:
@@ -102,7 +106,8 @@ def byte_pair_encoder(path: str):
             out = b"".join([coded[i] for i in merge(piece.encode() + b"\xff")])
             if len(self) >= REMEMBERED // 2:
                 self.clear()
-            self[piece] = out
+            if len(piece) <= LONGEST_REMEMBERED // 4:
+                self[piece] = out
             return out
 
     known = Pieces()
@@ -149,7 +154,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_i
             )
 
     source = as_bytes(docs, id_col, text_col)
-    return source.mapInArrow(encode, PIECES.replace("doc_id long", f"doc_id {source.schema['doc_id'].dataType.simpleString()}"))
+    return map_batches(source, encode, PIECES.replace("doc_id long", f"doc_id {source.schema['doc_id'].dataType.simpleString()}"))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -217,7 +222,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
         done = cut(
             dealt.repartition(groups, "bucket").groupBy("bucket").applyInArrow(packer(capacity), "item long, bin long, at long, level long")
         )
-        tag = F.col("bin") * 64 + turn
+        tag = F.col("bin") * 1024 + turn
         if placed is None:
             placed = done.select("item", tag.alias("sequence_id"), F.col("at").alias("offset"))
         else:
@@ -230,7 +235,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
         left = done.where(F.col("level") < capacity).select(tag.alias("item"), F.col("level").alias("length")).distinct()
         before, n = n, left.count()
         turn += 1
-        if groups == 1 or n > 0.9 * before or turn == 64:
+        if groups == 1 or n > 0.99 * before or turn == 1024:
             break
         items = left
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

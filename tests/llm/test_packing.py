@@ -71,3 +71,36 @@ def test_sum_of_squares_rule():
     lengths = np.array([3, 7, 5, 5, 2, 8, 10])
     bins, offsets, levels = P.sum_of_squares(lengths, 10)
     assert bins[0] == bins[1] and levels == [10, 10, 10, 10] and offsets.tolist() == [0, 3, 0, 5, 0, 2, 0]
+
+
+def naive(lengths, capacity):
+    """Each item where the sum over gaps of the squared number of open bins is least; of equals the fullest bin, then
+    the one opened to that level last."""
+    bins, touched = [], []
+    for size in lengths:
+        def total(levels):
+            gaps = [capacity - x for x in levels if x < capacity]
+            return sum(gaps.count(g) ** 2 for g in set(gaps))
+
+        options = [(total([*bins[:k], bins[k] + size, *bins[k + 1 :]]), -bins[k], -touched[k], k) for k in range(len(bins)) if bins[k] + size <= capacity]
+        options.append((total([*bins, size]), 0, 0, len(bins)))
+        k = min(options)[-1]
+        if k == len(bins):
+            bins.append(0)
+            touched.append(0)
+        yield k, bins[k]
+        bins[k] += size
+        touched[k] = max(touched) + 1
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=40))
+def test_sum_of_squares_equals_a_naive_one(lengths):
+    bins, offsets, _ = P.sum_of_squares(np.array(lengths, dtype=np.int64), 12)
+    assert list(zip(bins.tolist(), offsets.tolist(), strict=True)) == list(naive(lengths, 12))
+
+
+def test_long_chunks_are_not_remembered(path):
+    encoder = P.ChunkEncoder(path)
+    encoder.ids(b"a" * 1000 + b" word")
+    assert list(encoder) == [b"word"] and encoder.held > 0
