@@ -9,7 +9,7 @@ offsets (code points, ends exclusive) are kept with what is removed.
 
 No group is ever collected: digests are pre-aggregated to their first occurrence and count; the few digests with over a
 ten-thousandth of all units (at most ten thousand, so small enough to broadcast) are matched by a broadcast join, the
-others by a shuffled one in which no key holds more than that share.
+others by a shuffled one in which no key holds more than that share, and of which Spark splits large partitions.
 
 Defined cases: null texts stay null and empty ones empty; rows with the same id and text are one document and share their
 result, rows with the same id and other texts are ranked by offset and then by text hash; a null id ranks first; a very
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, cut
+from palimpsest.llm.common import bounded_batches, cut, map_batches
 
 KEY = ["doc_id", "__h"]
 SENTENCE_END = re.compile(r"[.!?]+(?=\s)")
@@ -87,7 +87,7 @@ def find_units(docs: DataFrame, min_line_words: int, min_sentence_words: int, id
             )
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(split, f"doc_id {kind}, __h long, {UNITS}")
+    return map_batches(source, split, f"doc_id {kind}, __h long, {UNITS}")
 
 
 def find_repeats(docs: DataFrame, min_line_words: int = 4, min_sentence_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,6 +140,6 @@ def deduplicate(docs: DataFrame, min_line_words: int = 4, min_sentence_words: in
             )
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    out = joined.mapInArrow(clean, f"doc_id {kind}, text string, removed array<struct<start:long,end:long,first_doc_id:{kind}>>")
+    out = map_batches(joined, clean, f"doc_id {kind}, text string, removed array<struct<start:long,end:long,first_doc_id:{kind}>>")
     chars = F.aggregate("removed", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"), "removed")
