@@ -4,19 +4,20 @@ Words are runs of ASCII letters and digits and of anything beyond ASCII; A-Z cou
 runs of `n` words, or all its words when it has fewer. A document word inside any occurrence of a window is hit.
 
 Only what is proven small is broadcast: the item table is measured first, and beyond `slice_bytes` it is dealt into
-slices by hash; the documents then pass through one scan for each slice and no shuffle is needed either way.
+slices by hash; the documents then pass through one scan for each slice and no shuffle is needed either way. An index is
+made once, by the driver, and takes some twenty bytes for each word of its slice besides the distinct words.
 
 Defined cases: null and empty texts have no words, no hits and are clean; items without words have no window; repeated
 rows are kept and each gets its own result; two items with the same words both count; items with a null id hit words like
-others, and count as one item, a null, together; an empty item table hits nothing; other columns of either table are
-ignored.
+others, and count as one item, a null, together; an empty item table hits nothing; an empty document table gives no rows;
+very long texts are read in parts cut at what separates words, and are matched whole; other columns of either table are
+ignored, and kept by decontaminate(), whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, split_at_space
+from palimpsest.llm.common import bounded_batches, map_batches, split_at_space
 
 #: Everything that separates words becomes a space, A-Z become a-z; bytes from 0x80 belong to words.
 TO_WORDS = bytes(
@@ -36,49 +37,50 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WindowIndex:
-    """The windows of some items: by length, a sorted array of hashes, their words for verification, and their items."""
+    """The windows of some items: all items' words one after another, and by window length the sorted hashes of windows
+    with the places where they begin and the items that they are of."""
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], n: int):
         self.vocabulary: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[str | None]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            words = (text or b"").translate(TO_WORDS).split()
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            size = min(n, len(ids))
-            for k in range(len(ids) - size + 1 if size else 0):
-                by_length[size][tuple(ids[k : k + size])].add(item)
+        self.items = [item for item, _ in items]
+        streams = [
+            np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in (text or b"").translate(TO_WORDS).split()], dtype=np.uint32) for _, text in items
+        ]
+        self.words = np.concatenate([np.zeros(0, dtype=np.uint32), *streams])
+        sizes = np.array([len(x) for x in streams], dtype=np.int64)
+        begins = np.cumsum(sizes) - sizes
+        widths = np.minimum(n, sizes)
         self.windows = []
-        for size, found in sorted(by_length.items()):
-            matrix = np.array(list(found), dtype=np.uint32).reshape(-1, size)
-            hashes = window_hashes(matrix)
+        for size in sorted(set(widths[widths > 0].tolist())):
+            of = np.flatnonzero(widths == size)
+            many = sizes[of] - size + 1
+            owner = np.repeat(of, many)
+            start = np.repeat(begins[of] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+            hashes = window_hashes(self.words, start, size)
             order = np.argsort(hashes, kind="stable")
-            owners = list(found.values())
-            self.windows.append((size, hashes[order], matrix[order], [in_order(owners[i]) for i in order]))
+            self.windows.append((size, hashes[order], start[order].astype(np.uint32), owner[order].astype(np.uint32)))
 
     def scan(self, ids: np.ndarray) -> tuple[np.ndarray, set[str | None]]:
         """Mark of each word that is hit, and the items whose windows occur."""
         hit = np.zeros(len(ids) + 1, dtype=np.int32)
         items: set[str | None] = set()
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-        for size, hashes, words, owners in self.windows:
+        for size, hashes, places, owners in self.windows:
             if len(ids) < size:
                 continue
             at = np.flatnonzero(unknown[size:] == unknown[:-size])  # windows made of known words only
             for part in range(0, len(at), 1 << 16):
                 starts = at[part : part + (1 << 16)]
-                matrix = ids[starts[:, None] + np.arange(size)]
-                found = window_hashes(matrix)
-                slot = np.searchsorted(hashes, found)
-                slot[slot == len(hashes)] = 0
-                for j in np.flatnonzero(hashes[slot] == found):
-                    k = int(slot[j])
-                    while k < len(hashes) and hashes[k] == found[j]:  # verify; equal hashes stand together
-                        if np.array_equal(words[k], matrix[j]):
-                            hit[starts[j]] += 1
-                            hit[starts[j] + size] -= 1
-                            items.update(owners[k])
-                            break
-                        k += 1
+                found = window_hashes(ids, starts, size)
+                first = np.searchsorted(hashes, found, side="left")
+                last = np.searchsorted(hashes, found, side="right")
+                for j in np.flatnonzero(first < last):
+                    own = ids[starts[j] : starts[j] + size]
+                    same = [k for k in range(first[j], last[j]) if np.array_equal(self.words[places[k] : places[k] + size], own)]  # verified
+                    if same:
+                        hit[starts[j]] += 1
+                        hit[starts[j] + size] -= 1
+                        items.update(self.items[owners[k]] for k in same)
         return np.cumsum(hit[:-1]) > 0, items
 
 
@@ -87,11 +89,11 @@ def in_order(items: set[str | None]) -> list[str | None]:
     return sorted(items, key=lambda x: (x is None, x or ""))
 
 
-def window_hashes(matrix: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(matrix), dtype=np.uint64)
+def window_hashes(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(len(starts), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for column in range(matrix.shape[1]):
-            out = (out ^ matrix[:, column].astype(np.uint64)) * MULTIPLIER
+        for k in range(size):
+            out = (out ^ words[starts + k].astype(np.uint64)) * MULTIPLIER
             out ^= out >> np.uint64(29)
     return out
 
@@ -111,9 +113,9 @@ def merge(old: list[tuple[int, int]], new: list[tuple[int, int]]) -> list[tuple[
     return out
 
 
-def scanner(shared, n: int):
+def scanner(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = WindowIndex(shared.value, n)
+        index = shared.value
         get = index.vocabulary.get
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         for batch in batches:
@@ -146,7 +148,7 @@ def find_overlaps(
     docs: DataFrame,
     items: DataFrame,
     n: int = 13,
-    slice_bytes: int = 64 << 20,
+    slice_bytes: int = 16 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_id_col: str = "item_id",
@@ -176,7 +178,7 @@ def find_overlaps(
         part = small if slices == 1 else small.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
         rows = part.collect()  # about slice_bytes
         listed = [(r["item_id"], (r["text"] or "").encode()) for r in rows]
-        found = found.mapInArrow(scanner(spark.sparkContext.broadcast(listed), n), found.schema)
+        found = map_batches(found, scanner(spark.sparkContext.broadcast(WindowIndex(listed, n))), found.schema)
     return found
 
 
@@ -201,15 +203,28 @@ def without_hits(text: bytes | None, hits: list) -> str | None:
     return b"".join([*out, text[done:]]).decode()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, action: str = "documents", text_col: str = "text", **options) -> DataFrame:
-    """docs with their own columns. action "documents": those of which a twentieth or more is hit are dropped and the
-    rest stay unchanged; "spans": every document stays and the hit words are taken out of its text.
+def longest_run() -> Column:
+    return F.aggregate("hits", F.lit(0).cast("long"), lambda most, x: F.greatest(most, x["end"] - x["start"]))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, action: str = "documents", least_run: int | None = None, text_col: str = "text", **options) -> DataFrame:
+    """docs with their own columns. action "documents": those of which a twentieth or more is hit, or with a run of
+    `least_run` hit words (None: no matter how long), are dropped, and the rest stay unchanged; "spans": every document
+    stays and the hit words are taken out of its text.
     """
     if action not in ("documents", "spans"):
         raise ValueError(f"unknown action: {action}")
     found = find_overlaps(docs, items, text_col=text_col, carry=True, **options)
     if action == "documents":
-        return found.where(~contaminated(hit_words(), F.col("n_words"))).select("row.*")
-    cleaned = F.udf(lambda text, hits: without_hits(bytes(text) if text is not None else None, hits), "string")
-    out = found.withColumn("__clean", F.when(F.size("hits") > 0, cleaned("text", "hits")).otherwise(F.col(f"row.{text_col}")))
-    return out.select(*[F.col("__clean").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
+        bad = contaminated(hit_words(), F.col("n_words"))
+        if least_run is not None:
+            bad = bad | (longest_run() >= least_run)
+        return found.where(~bad).select("row.*")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [without_hits(t, h) for t, h in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "clean"])
+
+    out = map_batches(found.select("row", "text", "hits"), clean, found.select("row", F.lit(None).cast("string").alias("clean")).schema)
+    return out.select(*[F.col("clean").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

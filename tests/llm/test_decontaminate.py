@@ -69,3 +69,29 @@ def test_items_with_a_null_id_hit_words(spark, docs, tmp_path):
     sha = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # of the empty text
     assert (rows[7]["n_hit"], rows[7]["n_items"], rows[7]["items_sha256"], rows[7]["contaminated"]) == (1, 1, sha, True)
     assert rows[5]["n_items"] == 2
+
+
+def test_least_run_drops_long_documents(spark):
+    """A whole window in a long document, which is less than a twentieth of it; short items' words are not enough."""
+    item = " ".join(f"w{k}" for k in range(20))
+    long = " ".join(f"z{k}" for k in range(2000))
+    rows = [(1, f"{long} {item} {long}"), (2, long), (3, f"{long} {' '.join(item.split()[:13])}"), (4, f"{long} {' '.join(item.split()[:12])}"), (5, f"{long} yes {long} yes")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "yes")], "item_id long, text string")
+    kept = lambda **options: sorted(r["doc_id"] for r in D.decontaminate(docs, items, **options).collect())
+    assert kept() == [1, 2, 3, 4, 5] and kept(least_run=13) == [2, 4, 5] and kept(least_run=20) == [2, 3, 4, 5]
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    from palimpsest.llm import common
+
+    text = (("a b c\n" * 50 + "the hidden\titem words here ") * 3).encode()
+    index = D.WindowIndex([("x", b"hidden item words"), (None, b"c the"), ("y", b"hidden item words")], 13)
+
+    def scanned():
+        words = [w for part in common.split_at_space(text.translate(TO_WORDS)) for w in part.split()]
+        return [m.tolist() if hasattr(m, "tolist") else m for m in index.scan(D.np.array([index.vocabulary.get(w, 0) for w in words], dtype="uint32"))]
+
+    whole = scanned()
+    monkeypatch.setattr(common, "CHUNK", 7)
+    assert scanned() == whole and sum(whole[0]) == 15 and whole[1] == {"x", "y", None}
