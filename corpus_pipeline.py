@@ -2,9 +2,18 @@
 
 1. language: documents without a letter, or of which no language is likelier than all others together, go.
 2. near_duplicates: of each component of linked documents the one with the least doc_id stays.
-3. decontamination: documents of which a twentieth or more of the words lies in benchmark windows go.
+3. decontamination: documents go that have a run of 13 or more words in benchmark windows, which is a whole window of any
+   item that isn't shorter, or of which a twentieth or more of the words lies in windows, as may be by short items.
 4. secrets: every secret in a text is replaced by a mark; all documents stay.
 5. packing: what is left is packed into sequences of at most 4096 tokens; a row for each piece.
+
+Defined cases. Null and empty texts have no letter and go in stage 1; by themselves, the other stages keep them, and the
+last gives each a piece of the end token alone. Very long texts are read whole, in parts. Ties: of equally likely
+languages neither is likelier than all others, so the document goes; of linked documents with one doc_id any one with
+its text stays; equally good bins go to the fullest. Repeated rows are linked, so one stays. Null ids are values like any
+other, and are never a reason to go. Empty tables give no rows in any stage; without any labelled row stage 1 keeps
+nothing, as no language is known. Other columns are carried along by stages 1 to 4, whatever their names; n_chars, if
+there is one, follows the text in stage 4.
 """
 
 from __future__ import annotations
@@ -26,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), least_run=13)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
