@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest import views
-from palimpsest.functions import predicates, strategies
+from palimpsest.functions import dictionaries, predicates, strategies
 from palimpsest.functions.predicates import NEED_CONTEXT, NEED_CONTEXT_AS_DIGITS, column_hints, default_patterns
 from palimpsest.functions.prf import seed_key
 from palimpsest.operators import mask as masking
 from palimpsest.operators import profile, seedmap, validate
+from palimpsest.operators.validate import TableMeta
 from palimpsest.plans import decide, history
 from palimpsest.sources import catalog
 from palimpsest.sql import DUCK
@@ -496,3 +497,96 @@ add(
     lambda spark, sf_dir: catalog.Catalog(spark, sf_dir).row_counts(TABLES),
     " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in TABLES),
 )
+
+
+# Sources, plans and custom parts
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> catalog.Catalog:
+    return catalog.Catalog(spark, sf_dir, {"customer": TableMeta(keys=["c_custkey"]), "lineitem": TableMeta(keys=["l_orderkey", "l_linenumber"])})
+
+
+add(
+    "source_page",
+    lambda spark, sf_dir: _customers(spark, sf_dir).page("customer", 100, after=(50,), columns=["c_custkey", "c_name"]),
+    "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 50 ORDER BY c_custkey LIMIT 100",
+)
+add(
+    "source_page_composite",
+    lambda spark, sf_dir: _customers(spark, sf_dir).page("lineitem", 50, after=(7, 2), columns=["l_orderkey", "l_linenumber"]).distinct(),
+    "SELECT DISTINCT * FROM (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey > 7 OR l_orderkey = 7 AND l_linenumber > 2 ORDER BY l_orderkey, l_linenumber LIMIT 50)",
+)
+add("source_distinct_values", lambda spark, sf_dir: _customers(spark, sf_dir).distinct_values("orders", "o_orderpriority"), "SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL LIMIT 5000")
+add("source_rows", lambda spark, sf_dir: _customers(spark, sf_dir).rows("nation", ["n_nationkey", "n_name"]), "SELECT n_nationkey, n_name FROM nation")
+
+
+def source_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _customers(spark, sf_dir)
+    return spark.createDataFrame([(t, c.key_holds(t)) for t in ("customer", "lineitem", "orders")], "table_name string, holds boolean")
+
+
+add(
+    "source_keys",
+    source_keys,
+    """SELECT 'customer' AS table_name, (SELECT count(*) = count(DISTINCT c_custkey) FROM customer) AS holds
+    UNION ALL SELECT 'lineitem', (SELECT count(*) = count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem) UNION ALL SELECT 'orders', FALSE""",
+)
+
+
+def seedmap_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = half_map(spark, sf_dir)
+    return pairs.all_pairs(10**6).agg(F.count("*").alias("listed"), F.count_distinct("value_hash").alias("hashes")).withColumn("counted", F.lit(pairs.count()))
+
+
+add("seedmap_count", seedmap_count, with_people("SELECT count(DISTINCT email) AS listed, count(DISTINCT email) AS hashes, count(DISTINCT email) AS counted FROM people WHERE id % 2 = 0"))
+_APPLIED = [masking.ColumnPlan("EMAIL", "fake_email"), masking.ColumnPlan("dob_text", "fake_date", null_markers=("N/A",)), masking.ColumnPlan("id", "format_random")]
+
+
+def mask_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table masked for good; its key is planned, too, and stays."""
+    at = f"{shared_folder(spark)}/masked-{uuid.uuid4().hex}"
+    masking.apply(views.people(spark, sf_dir).select("id", "email", "dob_text", "status"), _APPLIED, ["id"], SEED, at)
+    return spark.read.parquet(at)
+
+
+_DATE = strategies.text_sql(DUCK, strategies.get_strategy("fake_date"), "dob_text", KEY)
+add("mask_apply", mask_apply, with_people(f"SELECT id, {_EMAIL} AS email, CASE WHEN dob_text <> 'N/A' THEN {_DATE} END AS dob_text, status FROM people"))
+
+
+def mask_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = masking.dry_run(views.people(spark, sf_dir).select("id", "email", "dob_text", "status"), _APPLIED, ["id"], SEED, preview=10)
+    return spark.createDataFrame([(done.rows, ",".join(done.columns), ",".join(done.skipped_columns), len(done.preview))], "rows long, masked string, kept string, previewed int")
+
+
+add("mask_dry_run", mask_dry_run, with_people("SELECT count(*) AS rows, 'email,dob_text' AS masked, 'id' AS kept, least(10, count(*)) AS previewed FROM people"))
+add("mask_numeric_double", *mask_query("format_random", "c_nationkey_half", key="c_custkey", source="halves", kind="double"))
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") + 0.5).cast("double").alias("c_nationkey_half"))
+
+
+QUERIES["mask_numeric_double"] = lambda spark, sf_dir: masking.mask(_halves(spark, sf_dir), [masking.ColumnPlan("c_nationkey_half", "format_random")], SEED).withColumnRenamed("c_nationkey_half", "masked")
+ORACLE["mask_numeric_double"] = "WITH halves AS (SELECT c_custkey, CAST(c_nationkey + 0.5 AS DOUBLE) AS c_nationkey_half FROM customer) " + ORACLE["mask_numeric_double"]
+
+dictionaries.register_dictionary("planets", ["Mercury", "Venus", "Earth", "Mars", "Jupiter", "Saturn", "Uranus", "Neptune", " ", "Mars"])
+strategies.register_strategy("fake_planet", strategies.from_dictionary("planets"))
+add("mask_custom_dictionary", *mask_query("fake_planet", "city"))
+strategies.register_strategy("reversed", lambda c: F.reverse(c))
+add("mask_custom_strategy", lambda spark, sf_dir: masking.mask(views.people(spark, sf_dir).select("id", "guid"), [masking.ColumnPlan("guid", "reversed")], SEED).withColumnRenamed("guid", "masked"), with_people("SELECT id, reverse(guid) AS masked FROM people"))
+add("detect_custom_pattern", *detect(predicates.Pattern("customer_ref", lambda d, v: d.matches(v, r"^C[0-9]{8}\z" if d.name == "spark" else r"^C[0-9]{8}$"))))
+
+
+def validate_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy that lost a column and has another type of one, issue by issue."""
+    people = views.people(spark, sf_dir)
+    copy = people.drop("phone").withColumn("id", F.col("id").cast("string"))
+    found = validate.schema_elements("people", people, copy, TableMeta(keys=["id"]), TableMeta(keys=["id"], unique=["email"]))
+    return spark.createDataFrame([(i.message, i.status, len(i.detail["source_only"]), len(i.detail["target_only"])) for i in found], "element string, status string, source_only int, target_only int")
+
+
+add(
+    "validate_schema",
+    validate_schema,
+    "SELECT * FROM (VALUES ('columns', 'fail', 2, 1), ('primary_key', 'pass', 0, 0), ('indexes', 'pass', 0, 0), ('foreign_keys', 'pass', 0, 0), ('unique', 'fail', 0, 1), ('checks', 'pass', 0, 0)) t(element, status, source_only, target_only)",
+)
