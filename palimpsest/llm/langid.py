@@ -6,12 +6,16 @@ from `LONGEST` down to 1 that has any. A text's language is the one with the lar
 posterior probability.
 
 The classifier is fitted on a bounded sample of labelled rows: about `sample_rows` rows of each language, chosen by a
-hash of the id (all, where there are fewer), `max_words` words and `max_grams` n-grams. Everything is predicted.
+hash of the id (all, where there are fewer), the `max_words` most frequent words and `max_grams` most frequent n-grams (None:
+all). Everything is predicted, every n-gram of every word. Runs of over `LONGEST_WORD` letters are learned in pieces that
+overlap by `LONGEST` - 1 letters, so that no n-gram of theirs is lost.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, as is everything if no language was learned;
 a text of which no word has a known n-gram gets the most frequent language with the languages' even share as score;
-equal sums go to the first language in the order of strings; repeated rows get their own results; other columns are
-ignored by identify() and kept by keep_identified().
+equal sums go to the first language in the order of strings, and of equally frequent words the first are learned; repeated
+rows get their own results; very long texts are read in parts cut at white space, runs of letters of any length in
+blocks; an empty table gives no rows, and no language is learned from one; other columns are ignored by identify() and
+kept by keep_identified().
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, cut, split_at_space
+from palimpsest.llm.common import bounded_batches, cut, map_batches, split_at_space
 
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST, LONGEST_WORD, REMEMBERED = 5, 64, 200_000
+LONGEST, LONGEST_WORD, REMEMBERED, REMEMBERED_NUMBERS, BLOCK = 5, 64, 50_000, 4_000_000, 1 << 16
 UNKNOWN = "und"
 
 
@@ -38,15 +42,25 @@ def words(text: bytes) -> Iterator[list[str]]:
         yield WORD.findall(part.decode().lower())
 
 
-def grams(word: str, n: int) -> list[str]:
-    marked = f"<{word[:LONGEST_WORD]}>"
-    return [marked[k : k + n] for k in range(len(marked) - n + 1)]
+def grams(word: str, n: int) -> Iterator[list[str]]:
+    """All n-grams of the word with its marks, in blocks."""
+    marked = f"<{word}>"
+    for start in range(0, len(marked) - n + 1, BLOCK):
+        yield [marked[k : k + n] for k in range(start, min(start + BLOCK, len(marked) - n + 1))]
+
+
+def pieces(word: str) -> list[str]:
+    """The word, or overlapping pieces of it if it is very long."""
+    if len(word) <= LONGEST_WORD:
+        return [word]
+    step = LONGEST_WORD - LONGEST + 1
+    return [word[k : k + LONGEST_WORD] for k in range(0, len(word) - LONGEST + 1, step)]
 
 
 class Model:
     """Log frequencies by language. rows and gram_rows give a word's and an n-gram's row in their matrices."""
 
-    def __init__(self, counts: list[tuple[str, str, int]], max_grams: int = 100_000, smoothing: float = 0.5):
+    def __init__(self, counts: list[tuple[str, str, int]], max_grams: int | None = 100_000, smoothing: float = 0.5):
         """counts: words, languages and how often one occurs in the other."""
         self.languages = sorted({lang for _, lang, _ in counts})
         place = {lang: k for k, lang in enumerate(self.languages)}
@@ -62,9 +76,9 @@ class Model:
         of_gram, of_word = array("i"), array("i")
         for word, k in self.rows.items():
             for n in range(1, LONGEST + 1):
-                found = grams(word, n)
-                of_gram.extend(numbers.setdefault(g, len(numbers)) for g in found)
-                of_word.extend([k] * len(found))
+                for found in grams(word, n):
+                    of_gram.extend(numbers.setdefault(g, len(numbers)) for g in found)
+                    of_word.extend([k] * len(found))
         gram_ids, word_ids = np.frombuffer(of_gram, dtype=np.int32), np.frombuffer(of_word, dtype=np.int32)
         weight = np.log1p(table)  # a frequent word's n-grams count more, but not in proportion
         by_gram = np.zeros((len(numbers), len(self.languages)))
@@ -86,9 +100,14 @@ class Model:
 
     def backoff(self, word: str) -> np.ndarray | None:
         for n in range(LONGEST, 0, -1):
-            known = [self.gram_rows[g] for g in grams(word, n) if g in self.gram_rows]
-            if known:
-                return self.gram_vectors[known].mean(axis=0)
+            total, many = 0.0, 0
+            for found in grams(word, n):
+                known = [self.gram_rows[g] for g in found if g in self.gram_rows]
+                if known:
+                    total = total + self.gram_vectors[known].sum(axis=0)
+                    many += len(known)
+            if many:
+                return total / many
         return None
 
 
@@ -97,6 +116,7 @@ class Scorer(dict):
 
     def __init__(self, model: Model, remembered: int = REMEMBERED):
         super().__init__(model.rows)
+        remembered = max(1000, min(remembered, REMEMBERED_NUMBERS // max(1, len(model.languages))))
         self.model, self.base, self.remembered = model, len(model.rows), remembered
         self.vectors = np.zeros((self.base + remembered + 1, len(model.languages)), dtype=np.float32)
         self.vectors[: self.base] = model.vectors
@@ -109,7 +129,8 @@ class Scorer(dict):
             return self.nothing
         row = self.used
         self.vectors[row] = vector
-        self[word] = row
+        if len(word) <= LONGEST_WORD:
+            self[word] = row
         self.used += 1
         return row
 
@@ -134,7 +155,7 @@ class Scorer(dict):
         return model.languages[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
-def fit(docs: DataFrame, sample_rows: int = 3000, max_words: int = 100_000, max_grams: int = 100_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, sample_rows: int = 3000, max_words: int | None = 100_000, max_grams: int | None = 100_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the labelled rows of docs."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -156,16 +177,18 @@ def fit(docs: DataFrame, sample_rows: int = 3000, max_words: int = 100_000, max_
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 for part in words(text):
-                    found.update((lang, w) for w in part if len(w) <= LONGEST_WORD)
-                if len(found) > 500_000:
+                    found.update((lang, piece) for w in part for piece in pieces(w))
+                if len(found) > 200_000:
                     yield given()
                     found.clear()
         yield given()
 
-    counts = sample.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    counts = map_batches(sample.select("text", "lang"), count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     counts = cut(counts)
-    top = counts.groupBy("word").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "word").limit(max_words)
-    kept = counts.join(F.broadcast(top), "word").orderBy(F.desc("total"), "word", "lang").select("word", "lang", "n").toArrow()  # max_words words
+    top = counts.groupBy("word").agg(F.sum("n").alias("total"))
+    if max_words is not None:
+        top = F.broadcast(top.orderBy(F.desc("total"), "word").limit(max_words))
+    kept = counts.join(top, "word").orderBy(F.desc("total"), "word", "lang").select("word", "lang", "n").toArrow()  # words of the sample only
     return Model(list(zip(*(kept.column(c).to_pylist() for c in ("word", "lang", "n")), strict=True)), max_grams)
 
 
@@ -184,7 +207,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     source = docs.select(F.col(id_col).alias("doc_id"), *own, F.col(text_col).cast("binary").alias("text"))
     schema = source.drop("text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return source.mapInArrow(predict, schema)
+    return map_batches(source, predict, schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, **options) -> DataFrame:
