@@ -367,31 +367,20 @@ def may_be_in(filter: tuple[int, np.ndarray], h: np.ndarray) -> np.ndarray:
 def token_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """cid and tokens (bytes of the sorted hashes) of the wanted classes; wanted: doc_id (of one member) and cid.
 
-    A Bloom filter of the wanted ids comes before the join, so that few texts are moved.
+    Where texts are read, a Bloom filter of the wanted ids chooses the few whose sets are moved.
     """
     wanted = cut(wanted.select(id_hash().alias("h"), "cid"))
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(may_be_in(shared.value, batch.column("h").to_numpy())))
-
-    source = as_bytes(docs, id_col, text_col).select(id_hash().alias("h"), "text")
-    chosen = source.mapInArrow(some, source.schema).join(wanted, "h").select("cid", "text")
-
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                cids, sets = [], []
-                for cid, text in zip(batch.column("cid").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    tokens = shingle_set(text, size)
-                    if class_id(tokens) == cid:  # an id may stand for several texts
-                        cids.append(cid)
-                        sets.append(tokens.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "tokens"])
+            whole = whole.filter(pa.array(may_be_in(shared.value, whole.column("h").to_numpy())))
+            for start in range(0, whole.num_rows, 128):
+                sets = [shingle_set(text, size) for text in whole.column("text").slice(start, 128).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([class_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cid", "tokens"])
 
-    return map_batches(chosen, emit, "cid long, tokens binary").dropDuplicates(["cid"])
+    source = as_bytes(docs, id_col, text_col).select(id_hash().alias("h"), "text")
+    return map_batches(source, emit, "cid long, tokens binary").join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
 
 
 def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
